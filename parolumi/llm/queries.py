@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parolumi.llm import leakage
+from parolumi.llm import language, leakage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,37 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, segments = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "segments")
+    model = language.train(docs)
+    return language.document_languages(docs, model), language.segment_languages(segments, model, ["video_id", "seg_index"], F.col("words.text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, segments = _languages(spark, sf_dir)
+    name = F.concat_ws("#", "video_id", "seg_index")
+    both = (
+        segments.groupBy("video_id", "seg_index")
+        .agg(F.collect_set("lang").alias("langs"))
+        .where(F.size("langs") > 1)
+        .select(F.lit("segments").alias("table_name"), name.alias("record_id"), F.lit("mixed").alias("issue"), F.explode("langs").alias("lang"))
+    )
+    own = language.issues(docs).select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("record_id"), "issue", "lang").distinct()
+    return own.unionByName(both)
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)[0]
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)[1].distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_documents": p5_documents,
+    "p5_stretches": p5_stretches,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
 }
