@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +30,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of lowest hash of ``key``, or all of fewer rows.
+
+    A first filter on the hash leaves about twice as many rows before they are
+    sorted, so that what reaches the driver does not grow with ``df``.
+    """
+    total = df.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if total > 2 * rows:
+        df = df.where(place < int((1 << 40) * (2 * rows / total)))
+    return df.orderBy(place, key).limit(rows)
