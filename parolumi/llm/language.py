@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parolumi.session import bounded_sample
+
 # Languages told apart, by family.
 FAMILIES = {
     "armenian": ["hy"],
@@ -47,6 +49,7 @@ LANGUAGES = [x for members in FAMILIES.values() for x in members]
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’‌][^\W\d_]+)*")
 _MARKS = re.compile("[՚-՞­​‍⁠﻿]")
+_STOP = re.compile(r"[։.!?…؟۔]|\w:(?:\s|$)")
 _END = re.compile(r"(?<=[։.!?…:؟۔])[»\"')\]]*\s+|\n+")
 
 WIDTH = 1 << 15
@@ -221,14 +224,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     steps. Languages of which no labelled sentence is there are not told apart.
     """
     code = label_language(F.col(lang))
-    rows = (
-        docs.select(F.col(doc_id).alias("i"), code.alias("y"), F.col(text).alias("t"))
-        .where(F.col("t").isNotNull() & F.col("y").isin(LANGUAGES))
-        .orderBy(F.xxhash64("i"), "i", "t")
-        .limit(sample_docs)
-        .select("y", "t")
-        .collect()
-    )
+    labelled = docs.select(F.col(doc_id).alias("i"), code.alias("y"), F.col(text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("y").isin(LANGUAGES))
+    rows = bounded_sample(labelled, "i", sample_docs).select("y", "t").collect()
     bags, truth = [], []
     for r in rows:
         for s in sentences_of(r.t):
@@ -277,7 +274,8 @@ def fit(bags: list[list[str]], truth: list[str], rounds: int = 2) -> Model:
 
 class Sentences:
     """The sentences of some texts as arrays: text number, words, letters, commas,
-    language, confidence, and whether the sentence is a piece of a longer one.
+    language, confidence, and whether it is a piece of a longer one or the text has no
+    sentence marks at all (its length says nothing then).
 
     A sentence of more than ``long_sentence`` words (text without punctuation) is
     taken in pieces of ``piece`` words. Where the language of ``window`` words around
@@ -287,13 +285,15 @@ class Sentences:
     def __init__(self, model: Model, texts: list[str | None], long_sentence: int = 40, piece: int = 15, window: int = 7):
         if len(model.number) > model.KEPT_WORDS:
             model.forget()
-        text, count, commas, ids, size = [], [], [], [], []
+        text, count, commas, ids, size, unmarked = [], [], [], [], [], []
         for i, t in enumerate(texts):
+            bare = not (t and _STOP.search(t))
             for s in sentences_of(t) if t else ():
                 words = words_of(s)
                 if words:
                     text.append(i)
                     count.append(len(words))
+                    unmarked.append(bare)
                     commas.append(s.count(",") + s.count("،") + s.count("՝"))
                     ids += model.numbers(words)
                     size += map(len, words)
@@ -314,7 +314,7 @@ class Sentences:
         at = np.array(starts, dtype=np.int64)
         self.text = np.array(text, dtype=np.int64)[self.owner] if len(at) else at
         self.words = np.diff(np.append(at, first))
-        self.piece = self.words < n[self.owner] if len(at) else np.zeros(0, bool)
+        self.piece = (self.words < n[self.owner]) | np.array(unmarked)[self.owner] if len(at) else np.zeros(0, bool)
         self.commas = np.array(commas, dtype=np.int64)[self.owner] if len(at) else at
         if len(at):
             self.letters = np.add.reduceat(np.array(size, dtype=np.int64), at)

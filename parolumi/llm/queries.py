@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parolumi.llm import language, leakage
+from parolumi.llm import language, leakage, reading_level
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,23 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)[1].distinct()
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return reading_level.reading_levels(docs, _table(spark, sf_dir, "level_labels"), language.train(docs))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("level = 3").select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_documents": p5_documents,
     "p5_stretches": p5_stretches,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
 }
 
 ORACLES: dict[str, str] = {}
