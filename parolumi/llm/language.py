@@ -47,8 +47,8 @@ UNKNOWN = ["", "und", "unk", "unknown", "n/a", "na", "none", "null", "nan", "?",
 
 LANGUAGES = [x for members in FAMILIES.values() for x in members]
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’‌][^\W\d_]+)*")
-_MARKS = re.compile("[՚-՞­​‍⁠﻿]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’\u200c][^\W\d_]+)*")
+_MARKS = re.compile("[՚-՞\u00ad\u200b\u200d\u2060\ufeff]")
 _STOP = re.compile(r"[։.!?…؟۔]|\w:(?:\s|$)")
 _END = re.compile(r"(?<=[։.!?…:؟۔])[»\"')\]]*\s+|\n+")
 

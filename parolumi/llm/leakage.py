@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Marks that Armenian writes inside a word and joiners: removed, not word breaks.
-_INSIDE = re.compile("[՚-՞­​-‍⁠﻿̀-ͯ]")
+_INSIDE = re.compile("[՚-՞\u00ad\u200b-\u200d\u2060\ufeff\u0300-\u036f]")
 _WORD = re.compile(r"[^\W_]+")
 
 MATCH_SCHEMA = (

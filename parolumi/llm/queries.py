@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parolumi.llm import language, leakage, reading_level
+from parolumi.llm import language, leakage, lookalikes, reading_level
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def _spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "segments").select(F.lit("segments").alias("table_name"), F.concat_ws("#", "video_id", "seg_index").alias("record_id"), F.lit("text").alias("field_name"), F.col("text").alias("value"))
+    words = _table(spark, sf_dir, "gold_words").select(F.lit("gold_words").alias("table_name"), F.col("id").alias("record_id"), F.lit("word").alias("field_name"), F.col("word").alias("value"))
+    return texts.unionByName(words).where("record_id is not null")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ["table_name", "record_id", "field_name"]
+    return lookalikes.changed_values(_spelt(spark, sf_dir), key).select(*key).distinct()
+
+
+def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value in its consistent form, with what was changed in it."""
+    key = ["table_name", "record_id", "field_name"]
+    values = _spelt(spark, sf_dir).distinct()
+    changed = lookalikes.rewritten(lookalikes.changed_values(values, key)).select(*key, "value", "normal", "kinds")
+    same = values.join(changed, [*key, "value"], "left_anti").select(*key, "value", F.col("value").alias("normal"), F.array().cast("array<string>").alias("kinds"))
+    return changed.unionByName(same)
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, segments = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "segments")
     model = language.train(docs)
@@ -58,6 +78,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_normalised": p4_normalised,
     "p5_found": p5_found,
     "p5_documents": p5_documents,
     "p5_stretches": p5_stretches,
