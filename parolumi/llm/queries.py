@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parolumi.llm import language, leakage, lookalikes, reading_level
+from parolumi.llm import language, leakage, lookalikes, reading_level, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with text and whether it was cut."""
+    return truncation.truncated(_table(spark, sf_dir, "asr_chunks"), ["chunk_id"], "model", "text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_chunks(spark, sf_dir).where("cut and chunk_id is not null").select("chunk_id").distinct()
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each model's chunks were cut; chunks without text count as chunks."""
+    chunks = _table(spark, sf_dir, "asr_chunks").where("chunk_id is not null").select("chunk_id", "model").distinct()
+    cut = p1_found(spark, sf_dir).withColumn("cut", F.lit(1))
+    return (
+        chunks.join(cut, "chunk_id", "left")
+        .groupBy("model")
+        .agg(F.count("*").alias("chunks"), F.count("cut").alias("cut_chunks"), (F.count("cut") / F.count("*")).alias("cut_share"))
+    )
+
+
 def _spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "segments").select(F.lit("segments").alias("table_name"), F.concat_ws("#", "video_id", "seg_index").alias("record_id"), F.lit("text").alias("field_name"), F.col("text").alias("value"))
     words = _table(spark, sf_dir, "gold_words").select(F.lit("gold_words").alias("table_name"), F.col("id").alias("record_id"), F.lit("word").alias("field_name"), F.col("word").alias("value"))
@@ -78,6 +98,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_chunks": p1_chunks,
+    "p1_shares": p1_shares,
     "p4_found": p4_found,
     "p4_normalised": p4_normalised,
     "p5_found": p5_found,
