@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parolumi.llm import language, leakage, lookalikes, reading_level, truncation
+from parolumi.llm import language, leakage, lookalikes, pairs, reading_level, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,19 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ["video_id", "seg_index"]
+    segments = _table(spark, sf_dir, "segments").select(*key, "text", "explanation", F.col("words.text").alias("word_texts"), F.col("words.translation").alias("glosses"))
+    return pairs.defects(segments, key)
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs by field and kind, as shares of all segments."""
+    total = _table(spark, sf_dir, "segments").select("video_id", "seg_index").dropna().distinct().agg(F.count("*").alias("segments"))
+    kinds = p3_found(spark, sf_dir).groupBy("field_name", "defect").agg(F.count("*").alias("pairs"))
+    return kinds.crossJoin(F.broadcast(total)).withColumn("share", F.col("pairs") / F.col("segments"))
+
+
 def _spelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _table(spark, sf_dir, "segments").select(F.lit("segments").alias("table_name"), F.concat_ws("#", "video_id", "seg_index").alias("record_id"), F.lit("text").alias("field_name"), F.col("text").alias("value"))
     words = _table(spark, sf_dir, "gold_words").select(F.lit("gold_words").alias("table_name"), F.col("id").alias("record_id"), F.lit("word").alias("field_name"), F.col("word").alias("value"))
@@ -101,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
     "p1_shares": p1_shares,
+    "p3_found": p3_found,
+    "p3_shares": p3_shares,
     "p4_found": p4_found,
     "p4_normalised": p4_normalised,
     "p5_found": p5_found,
