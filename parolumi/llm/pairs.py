@@ -157,7 +157,7 @@ def defects(segments: DataFrame, key: list[str], least_covered: float = 0.7) ->
     counts = tails.window_counts(texts, "explanation")
     ends = tails.with_tails(texts.select("explanation", F.xxhash64("explanation").alias("vid")), ["vid"], "explanation")
     doubtful = ends.where(~F.col("state").isin("final", "blank"))
-    off = tails.with_evidence(doubtful.select("vid", "state", "key0", "key1", "key2").dropDuplicates(["vid"]), counts, ["vid"]).select("vid", "state", tails.breaks_off().alias("off"))
+    off = tails.with_evidence(doubtful.select("vid", "state", "key1", "key2").dropDuplicates(["vid"]), counts, ["vid"]).select("vid", "state", tails.breaks_off().alias("off"))
     open_ended = rows.where("on_explanation is null").withColumn("vid", F.xxhash64("explanation")).join(off, "vid")
     cut = open_ended.where(F.col("off") | (F.col("covered") < least_covered))
     field = lambda name, defect: F.struct(F.lit(name).alias("field_name"), defect.alias("defect"))

@@ -38,7 +38,7 @@ def truncated(values: DataFrame, key: list[str], group: str, value: str) -> Data
     lim = limits(kept, group)
     # evidence is asked for by value, since many keys may hold the same one
     ends = ends.withColumn("vid", F.xxhash64("value"))
-    judged = tails.with_evidence(ends.select("vid", "state", "key0", "key1", "key2").dropDuplicates(["vid"]), known, ["vid"])
+    judged = tails.with_evidence(ends.select("vid", "state", "key1", "key2").dropDuplicates(["vid"]), known, ["vid"])
     judged = judged.select("vid", "n1", tails.breaks_off().alias("off"))
     out = ends.join(judged, "vid").join(F.broadcast(lim), (F.col(group) == F.col("limit_group")) & (F.length("value") == F.col("limit_size")), "left")
     at_limit = F.col("limit_size").isNotNull()
