@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parolumi.llm import language, leakage, lookalikes, pairs, reading_level, truncation
+from parolumi.llm import language, leakage, lookalikes, packing, pairs, reading_level, truncation
+from parolumi.session import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _packing(capacity: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return packing.packed(packing.token_counts(_table(spark, sf_dir, "documents")), capacity)
+
+    return run
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused tokens at both capacities; documents are tokenised once."""
+    sizes = written(packing.token_counts(_table(spark, sf_dir, "documents")), "token-counts")
+    one, two = (packing.summary(packing.packed(sizes, c), c) for c in (2048, 4096))
+    return one.unionByName(two)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
@@ -121,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_documents": p5_documents,
     "p5_stretches": p5_stretches,
+    "p6_packing_2048": _packing(2048),
+    "p6_packing_4096": _packing(4096),
+    "p6_unused": p6_unused,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
