@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from parolumi.llm import tails
+from parolumi.session import written
 
 # What stands for "no text".
 STAND_INS = {
@@ -91,60 +93,89 @@ def explanation_defect(text: str | None, explanation: str | None, glosses: list[
     return None
 
 
+class Gloss:
+    """What the rules ask about a gloss; glosses recur, so workers keep them."""
+
+    __slots__ = ("blank", "refusal", "words", "lettered", "russian", "bare")
+
+    def __init__(self, text: str | None):
+        self.blank = is_blank(text)
+        self.refusal = not self.blank and is_refusal(text)
+        self.words = () if self.blank or self.refusal else tuple(tails.words_of(text))
+        self.lettered = not self.blank and bool(_LETTER.search(text))
+        self.russian = self.blank or is_russian(text)
+        self.bare = "" if self.blank else _PUNCT.sub("", text.lower())
+
+
+gloss = lru_cache(100_000)(Gloss)
+
+
+@lru_cache(100_000)
+def spoken_form(word: str | None) -> tuple[str, bool]:
+    """A word in lower case without punctuation, and whether it has letters."""
+    return (_PUNCT.sub("", word.lower()), bool(_LETTER.search(word))) if word else ("", False)
+
+
 def words_defect(text: str | None, words: list[tuple[str | None, str | None]], missing: float = 1 / 3, copied: float = 0.5, foreign: float = 0.5) -> str | None:
     """empty, refusal, truncated, copied, wrong_language or None."""
-    glosses = [(w, g) for w, g in words if not is_blank(g)]
-    if not glosses:
+    pairs = [(spoken_form(w)[0], gloss(g)) for w, g in words]
+    told = [(w, g) for w, g in pairs if not g.blank]
+    if not told:
         return "empty"
-    if any(is_refusal(g) for _, g in glosses):
+    if any(g.refusal for _, g in told):
         return "refusal"
     expected = sum(1 for t in (text or "").split() if _PUNCT.sub("", t))
-    spoken = sum(1 for w, _ in words if w and _PUNCT.sub("", w))
+    spoken = sum(1 for w, _ in pairs if w)
     if expected and (expected - spoken) / expected >= missing:
         return "truncated"
-    same = other = 0
-    for w, g in glosses:
-        if not _LETTER.search(g):
-            continue
-        if w and _PUNCT.sub("", w.lower()) == _PUNCT.sub("", g.lower()):
-            same += 1
-        elif not is_russian(g):
-            other += 1
+    lettered = [(w, g) for w, g in told if g.lettered]
+    same = sum(1 for w, g in lettered if w and w == g.bare)
     if same >= copied * len(words):
         return "copied"
-    lettered = sum(1 for _, g in glosses if _LETTER.search(g))
-    return "wrong_language" if lettered and other >= foreign * lettered else None
+    other = sum(1 for w, g in lettered if w != g.bare and not g.russian)
+    return "wrong_language" if lettered and other >= foreign * len(lettered) else None
 
 
 def judged(segments: DataFrame, key: list[str]) -> DataFrame:
     """The rule-based defects of each segment and the end of its translation.
 
     ``segments`` has the key columns, text, explanation, word_texts and glosses (arrays
-    of strings in step; null counts as empty).
+    of strings in step; null counts as empty). Segments without a defect whose
+    translation ends with a final mark are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            one, two, covered = [], [], []
-            for text, said, ws, gs in zip(f["text"], f["explanation"], f["word_texts"], f["glosses"]):
-                words = list(zip(ws if ws is not None else [], gs if gs is not None else []))
-                own = [] if text is None else words
+            at, rows = [], []
+            for i, (text, said, ws, gs) in enumerate(zip(f["text"], f["explanation"], f["word_texts"], f["glosses"])):
+                words = list(zip(ws, gs)) if ws is not None and gs is not None else []
+                two = words_defect(text, words)
                 # numbers and signs are often left out of a translation
-                flat = [x for w, g in own if w and _LETTER.search(w) and not is_blank(g) and not is_refusal(g) for x in tails.words_of(g)]
-                two.append(words_defect(text, words))
-                usable = two[-1] is None
-                one.append(explanation_defect(text, said, flat if usable else []))
-                covered.append(coverage(flat, tails.words_of(said)) if usable and flat and said else None)
-            out = f[key].reset_index(drop=True).assign(explanation=f["explanation"].to_numpy(), on_explanation=one, on_words=two, covered=pd.array(covered, dtype="Float64"))
-            yield out
-
-    names = ", ".join(f"`{k}` {dict(segments.dtypes)[k]}" for k in key)
+                flat = [x for w, g in words if spoken_form(w)[1] for x in gloss(g).words] if two is None else []
+                one = explanation_defect(text, said, flat)
+                state, key1, key2, covered = None, None, None, None
+                if one is None:
+                    state, _, _, key1, key2 = tails.tail_of(said)
+                    if state in ("final", "blank"):
+                        state = None
+                    elif flat:
+                        covered = coverage(flat, tails.words_of(said))
+                if one or two or state:
+                    at.append(i)
+                    rows.append((one, two, covered, state, key1, key2))
+            kinds = [("on_explanation", object), ("on_words", object), ("covered", "Float64"), ("state", object), ("key1", "Int64"), ("key2", "Int64")]
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            found = pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds, cols)})
+            yield pd.concat([f[key].iloc[at].reset_index(drop=True), found], axis=1)
+
+    types = dict(segments.dtypes)
+    names = ", ".join(f"`{k}` {types[k]}" for k in key)
     kept = segments.select(*key, "text", "explanation", "word_texts", "glosses")
-    return kept.mapInPandas(run, f"{names}, explanation string, on_explanation string, on_words string, covered double")
+    return kept.mapInPandas(run, f"{names}, on_explanation string, on_words string, covered double, state string, key1 bigint, key2 bigint")
 
 
 def defects(segments: DataFrame, key: list[str], least_covered: float = 0.7) -> DataFrame:
-    """One row (key, field_name, defect, evidence) per defective pair.
+    """One row (key, field_name, defect) per defective pair.
 
     A translation is truncated if its end breaks off (``tails``), or lacks its final
     mark and covers less than ``least_covered`` of the glosses of the segment's words.
@@ -152,14 +183,10 @@ def defects(segments: DataFrame, key: list[str], least_covered: float = 0.7) ->
     out; an empty table gives no rows.
     """
     own = segments.dropna(subset=key)
-    rows = judged(own, key).distinct()
-    texts = rows.where("on_explanation is null").select("explanation").distinct()
-    counts = tails.window_counts(texts, "explanation")
-    ends = tails.with_tails(texts.select("explanation", F.xxhash64("explanation").alias("vid")), ["vid"], "explanation")
-    doubtful = ends.where(~F.col("state").isin("final", "blank"))
-    off = tails.with_evidence(doubtful.select("vid", "state", "key1", "key2").dropDuplicates(["vid"]), counts, ["vid"]).select("vid", "state", tails.breaks_off().alias("off"))
-    open_ended = rows.where("on_explanation is null").withColumn("vid", F.xxhash64("explanation")).join(off, "vid")
-    cut = open_ended.where(F.col("off") | (F.col("covered") < least_covered))
+    counts = tails.window_counts(own, "explanation")
+    rows = written(judged(own, key).distinct(), "judged-pairs")
+    doubtful = rows.where("state is not null").select(*key, "state", "covered", "key1", "key2")
+    cut = tails.with_evidence(doubtful, counts, key).where(tails.breaks_off() | (F.col("covered") < least_covered))
     field = lambda name, defect: F.struct(F.lit(name).alias("field_name"), defect.alias("defect"))
     by_rule = rows.select(*key, F.explode(F.array(field("explanation", F.col("on_explanation")), field("words", F.col("on_words")))).alias("d")).select(*key, "d.*").where("defect is not null")
     return by_rule.unionByName(cut.select(*key, F.lit("explanation").alias("field_name"), F.lit("truncated").alias("defect"))).distinct()
