@@ -107,7 +107,9 @@ class Gloss:
         self.bare = "" if self.blank else _PUNCT.sub("", text.lower())
 
 
-gloss = lru_cache(100_000)(Gloss)
+@lru_cache(100_000)
+def gloss(text: str | None) -> Gloss:
+    return Gloss(text)
 
 
 @lru_cache(100_000)
