@@ -185,7 +185,8 @@ def _pack_cells(items: DataFrame, capacity: int, cells: int, turn: int) -> DataF
         )
 
     dealt = items.withColumn("cell", F.pmod(F.xxhash64("doc_id", "part", F.lit(turn)), F.lit(cells)))
-    return dealt.groupBy("cell").applyInPandas(pack, "doc_id bigint, part bigint, tokens bigint, container string, container_tokens bigint")
+    # cells are few bytes and much work: as many tasks as cells
+    return dealt.repartition(cells, "cell").groupBy("cell").applyInPandas(pack, "doc_id bigint, part bigint, tokens bigint, container string, container_tokens bigint")
 
 
 def packed(sizes: DataFrame, capacity: int, cell_items: int = 10_000, full: float = 0.998, max_turns: int = 4) -> DataFrame:

@@ -91,17 +91,18 @@ def window_counts(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def with_tails(values: DataFrame, key: list[str], value: str = "value") -> DataFrame:
-    """``key`` columns, value and TAIL_SCHEMA of every non-null value."""
+    """``key`` columns, size (characters) and TAIL_SCHEMA of every non-null value; the
+    values themselves are not carried on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = [("state", object), ("words", "int32"), ("last", object), ("key1", "Int64"), ("key2", "Int64")]
         for f in frames:
-            cols = zip(*[tail_of(t) for t in f["value"]])
-            kinds = [("state", object), ("words", "int32"), ("last", object), ("key1", "Int64"), ("key2", "Int64")]
-            tails = pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds, cols)} if len(f) else {name: [] for name, _ in kinds})
-            yield pd.concat([f.reset_index(drop=True), tails], axis=1)
+            cols = list(zip(*[tail_of(t) for t in f["value"]])) or [()] * len(kinds)
+            tails = pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds, cols)})
+            yield pd.concat([f.drop(columns="value").reset_index(drop=True), tails], axis=1)
 
-    kept = values.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("value"))
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in kept.schema)
+    kept = values.where(F.col(value).isNotNull()).select(*key, F.length(value).alias("size"), F.col(value).alias("value"))
+    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in kept.schema if c.name != "value")
     return kept.mapInPandas(run, f"{schema}, {TAIL_SCHEMA}")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parolumi.llm import tails
+from parolumi.session import written
 
 
 def limits(values: DataFrame, group: str, value: str = "value", peak: int = 5) -> DataFrame:
@@ -25,22 +26,26 @@ def limits(values: DataFrame, group: str, value: str = "value", peak: int = 5) -
 def truncated(values: DataFrame, key: list[str], group: str, value: str) -> DataFrame:
     """Every non-null value with whether it was cut.
 
-    Columns: the key columns, the group column, value, state, words, last, cut
-    (boolean), at_limit (its length is one at which the group's texts are cut),
+    Columns: the key columns, the group column, size (characters), state, words, last,
+    cut (boolean), at_limit (its length is one at which the group's texts are cut),
     in_word (cut, and the last word occurs nowhere as a whole word). Blank values are
     not cut. A value that lacks nothing but its final mark is not cut. Rows equal
-    in key, group and value count once; null keys are kept. ``finish_reason`` and the
-    like are not consulted: they are often missing or wrong.
+    in key, group and end count once; null keys are kept. ``finish_reason`` and the
+    like are not consulted: they are often missing or wrong. Texts are read where
+    they lie; only windows and ends are shuffled.
     """
-    kept = values.where(F.col(value).isNotNull()).select(*key, group, F.col(value).alias("value")).distinct()
-    known = tails.window_counts(kept.select("value").distinct())
-    ends = tails.with_tails(kept, [*key, group])
+    kept = values.where(F.col(value).isNotNull()).select(*key, group, F.col(value).alias("value"))
+    counts = tails.window_counts(kept)
+    ends = written(tails.with_tails(kept, [*key, group]).distinct(), "text-ends")
+    asked = ends.where(F.col("state").isin("open", "bare", "ellipsis")).select("state", "key1", "key2").distinct().withColumn("end", F.xxhash64("state", "key1", "key2"))
+    judged = tails.with_evidence(asked, counts, ["end"]).select("end", F.col("n1").alias("seen"), tails.breaks_off().alias("off"))
     lim = limits(kept, group)
-    # evidence is asked for by value, since many keys may hold the same one
-    ends = ends.withColumn("vid", F.xxhash64("value"))
-    judged = tails.with_evidence(ends.select("vid", "state", "key1", "key2").dropDuplicates(["vid"]), known, ["vid"])
-    judged = judged.select("vid", "n1", tails.breaks_off().alias("off"))
-    out = ends.join(judged, "vid").join(F.broadcast(lim), (F.col(group) == F.col("limit_group")) & (F.length("value") == F.col("limit_size")), "left")
+    out = (
+        ends.withColumn("end", F.xxhash64("state", "key1", "key2"))
+        .join(judged, "end", "left")
+        .join(lim, F.col(group).eqNullSafe(F.col("limit_group")) & (F.col("size") == F.col("limit_size")), "left")
+    )
     at_limit = F.col("limit_size").isNotNull()
-    cut = F.col("off") | (at_limit & F.col("state").isin("bare"))
-    return out.select(*key, group, "value", "state", "words", "last", cut.alias("cut"), at_limit.alias("at_limit"), (cut & (F.col("n1") == 0) & (F.col("state") == "bare")).alias("in_word"))
+    cut = F.coalesce("off", F.lit(False)) | (at_limit & (F.col("state") == "bare"))
+    in_word = cut & (F.coalesce("seen", F.lit(0)) == 0) & (F.col("state") == "bare")
+    return out.select(*key, group, "size", "state", "words", "last", cut.alias("cut"), at_limit.alias("at_limit"), in_word.alias("in_word"))
