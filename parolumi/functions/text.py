@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Marks the normalisers know.
@@ -18,6 +20,12 @@ ANY_LETTER = "[A-Za-zЀ-ӿ԰-֏؀-ۿऀ-ॿ]"
 _SPACES = "(?U)\\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: inside a lambda an outer expression
+    would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """White-space separated words; null and blank give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACES), lambda w: w != "")
@@ -73,13 +81,15 @@ def has_digit(text: Column) -> Column:
 
 def word_grams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` words, joined by a separator that no text holds."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.array_join(F.slice(t, i, n), "\x1f"))).otherwise(none))
 
 
 def char_grams(text: Column, n: int) -> Column:
     """All runs of ``n`` characters of the text without white space."""
-    s = F.regexp_replace(text, _SPACES, "")
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    bare = F.regexp_replace(text, _SPACES, "")
+    return let(bare, lambda s: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i: F.substring(s, i, F.lit(n)))).otherwise(none))
 
 
 def top_count(items: Column) -> Column:
@@ -99,10 +109,17 @@ def top_count(items: Column) -> Column:
 
 def is_loop(text: Column, least_words: int = 20, least_repeats: int = 15, least_share: float = 0.6) -> Column:
     """Whether one run of five words fills the text: ``least_repeats`` times or more and
-    more than ``least_share`` of the words. The count is made of long texts only."""
-    w = words(text)
-    c = top_count(word_grams(w, 5))
-    return F.when(F.size(w) >= least_words, (c >= least_repeats) & (c * 5.0 / F.size(w) > least_share)).otherwise(False)
+    more than ``least_share`` of the words. Runs are counted only in texts that are long
+    enough and have so few distinct runs that one could repeat so often."""
+
+    def judged(w: Column) -> Column:
+        def repeats(grams: Column) -> Column:
+            spare = F.size(grams) - F.size(F.array_distinct(grams))
+            return F.when(spare >= least_repeats - 1, let(top_count(grams), lambda c: (c >= least_repeats) & (c * 5.0 / F.size(w) > least_share))).otherwise(False)
+
+        return F.when(F.size(w) >= least_words, let(word_grams(w, 5), repeats)).otherwise(False)
+
+    return let(words(text), judged)
 
 
 def degenerate(text: Column, seconds: Column) -> Column:

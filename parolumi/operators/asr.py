@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from parolumi.functions import distance as D, stats, text as X
 
@@ -68,33 +72,39 @@ def gate(transcripts: DataFrame, seconds: str) -> DataFrame:
     return transcripts.withColumn("reason", X.degenerate(F.col("text"), F.col(seconds)))
 
 
+def f_beta(hyp: Counter, ref: Counter, beta: float) -> float | None:
+    """F-beta of two multisets; None if one is empty."""
+    if not hyp or not ref:
+        return None
+    both = (hyp & ref).total()
+    if not both:
+        return 0.0
+    p, r = both / hyp.total(), both / ref.total()
+    return (1 + beta * beta) * p * r / (beta * beta * p + r)
+
+
+def chrf_score(hyp: str | None, ref: str | None, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> float:
+    """Mean F-beta, in percent, over character n-grams (white space removed) and word
+    n-grams; orders for which a side is too short are left out; no order at all gives 0."""
+    hw, rw = (hyp or "").split(), (ref or "").split()
+    hc, rc = "".join(hw), "".join(rw)
+    chars = lambda s, n: Counter(s[i : i + n] for i in range(len(s) - n + 1))
+    runs = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    scores = [f_beta(chars(hc, n), chars(rc, n), beta) for n in range(1, char_order + 1)]
+    scores += [f_beta(runs(hw, n), runs(rw, n), beta) for n in range(1, word_order + 1)]
+    known = [s for s in scores if s is not None]
+    return 100.0 * sum(known) / len(known) if known else 0.0
+
+
 def chrf(pairs: DataFrame, hyp: Column, ref: Column, key: list[str], char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
-    """chrF++ of each pair: the mean F-beta over character n-grams (white space removed)
-    and word n-grams, in percent; orders for which a side is too short are left out; no
-    order at all gives 0. Rows are exploded into n-grams counted by pair and order."""
-    grams = [F.struct(F.lit(f"c{n}").alias("o"), X.char_grams(hyp, n).alias("h"), X.char_grams(ref, n).alias("r")) for n in range(1, char_order + 1)]
-    grams += [F.struct(F.lit(f"w{n}").alias("o"), X.word_grams(X.words(hyp), n).alias("h"), X.word_grams(X.words(ref), n).alias("r")) for n in range(1, word_order + 1)]
-    each = pairs.select(*key, F.explode(F.array(*grams)).alias("g")).select(*key, "g.*")
-    scored = each.select(*key, "o", F.size("h").alias("hn"), F.size("r").alias("rn"), _common(F.col("h"), F.col("r")).alias("both"))
-    p, r = F.col("both") / F.col("hn"), F.col("both") / F.col("rn")
-    f = F.when((F.col("hn") > 0) & (F.col("rn") > 0), F.when(F.col("both") == 0, 0.0).otherwise((1 + beta * beta) * p * r / (beta * beta * p + r)))
-    return scored.groupBy(*key).agg(F.round(F.coalesce(F.avg(f) * 100, F.lit(0.0)), 4).alias("chrf"))
-
-
-def _common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays, within the row: both are sorted
-    and each element of ``a`` numbered among its equals, likewise ``b``."""
-    numbered = lambda arr: F.aggregate(
-        F.array_sort(arr),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct(
-            x.alias("last"),
-            F.when((s["k"] > 0) & (s["last"] == x), s["k"] + 1).otherwise(1).alias("k"),
-            F.concat(s["out"], F.array(F.concat(x, F.lit("\x1e"), F.when((s["k"] > 0) & (s["last"] == x), s["k"] + 1).otherwise(1).cast("string")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+    """chrF++ (``chrf_score``) of each pair. Multisets of n-grams are compared inside the row,
+    in Arrow batches: exploded, every pair would become some thousand rows to shuffle."""
+
+    @pandas_udf(T.DoubleType())
+    def score(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([chrf_score(h, r, char_order, word_order, beta) for h, r in zip(hyps, refs)], dtype="float64")
+
+    return pairs.select(*key, F.round(score(hyp, ref), 4).alias("chrf"))
 
 
 def rank_agreement(board: DataFrame, a: str, b: str) -> DataFrame:

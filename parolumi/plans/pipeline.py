@@ -8,7 +8,7 @@ from parolumi.functions import text as X
 from parolumi.operators import asr as A, labels as L, providers as P, segmenting as G
 from parolumi.sources import tables as T
 
-_SIDE = "chunks array<struct<index:int,offset:double,text:string>>, words array<struct<text:string,type:string,start:double,end:double,speaker_id:string,logprob:double>>, events array<struct<message_type:string,text:string,error:string>>, source string, model string, duration_seconds double"
+_SIDE = "chunks array<struct<index:int,offset:double,text:string>>, words array<struct<text:string,type:string,start:string,end:string,speaker_id:string,logprob:string>>, events array<struct<message_type:string,text:string,error:string>>, source string, model string, duration_seconds double"
 
 
 def _sidecars(spark, d) -> DataFrame:
@@ -19,7 +19,8 @@ def _sidecars(spark, d) -> DataFrame:
 
 def _raw_words(spark, d) -> DataFrame:
     w = _sidecars(spark, d).select("file_id", F.posexplode("words").alias("pos", "w"))
-    return w.select("file_id", "pos", "w.text", "w.type", F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"), "w.speaker_id", "w.logprob")
+    number = lambda c: F.col(c).try_cast("double")  # noqa: E731 - runs differ in whether numbers are quoted
+    return w.select("file_id", "pos", "w.text", "w.type", number("w.start").alias("start_s"), number("w.end").alias("end_s"), "w.speaker_id", number("w.logprob").alias("logprob"))
 
 
 def segment_tokens(spark, d):
