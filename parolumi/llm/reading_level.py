@@ -76,18 +76,23 @@ def features(stats: DataFrame, base: dict[str, float], long_ratio: float = 1.2)
         ),
     )
     d = stats.where(F.size("words") > 0).withColumn("s", rel)
-    add = lambda f: F.aggregate("s", F.lit(0.0), lambda acc, x: acc + f(x))
-    d = d.select(
-        "doc_id",
-        add(lambda x: x["words"].cast("double")).alias("n"),
-        add(lambda x: x["whole"].cast("double")).alias("whole"),
-        add(lambda x: F.when(x["whole"] > 0, 1.0).otherwise(0.0)).alias("sentences"),
-        F.size("s").alias("parts"),
-        add(lambda x: x["commas"].cast("double")).alias("marks"),
-        add(lambda x: x["words"] * x["ratio"]).alias("length"),
-        add(lambda x: F.when(x["ratio"] >= long_ratio, x["words"].cast("double")).otherwise(0.0)).alias("long_words"),
-        add(lambda x: F.when(x["ratio"] >= long_ratio, 1.0).otherwise(0.0)).alias("long_parts"),
-    )
+    sums = ["n", "whole", "sentences", "marks", "length", "long_words", "long_parts"]
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in sums])
+
+    def step(acc: Column, x: Column) -> Column:
+        long = x["ratio"] >= long_ratio
+        more = {
+            "n": x["words"].cast("double"),
+            "whole": x["whole"].cast("double"),
+            "sentences": F.when(x["whole"] > 0, 1.0).otherwise(0.0),
+            "marks": x["commas"].cast("double"),
+            "length": x["words"] * x["ratio"],
+            "long_words": F.when(long, x["words"].cast("double")).otherwise(0.0),
+            "long_parts": F.when(long, 1.0).otherwise(0.0),
+        }
+        return F.struct(*[(acc[c] + more[c]).alias(c) for c in sums])
+
+    d = d.select("doc_id", F.size("s").alias("parts"), F.aggregate("s", zero, step).alias("t")).select("doc_id", "parts", "t.*")
     marked = F.col("whole") * 2 >= F.col("n")
     log_sentence = F.when(marked, F.log(F.greatest(F.lit(1.0), F.col("whole") / F.greatest(F.lit(1.0), F.col("sentences")))))
     return d.select(
@@ -207,7 +212,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, model: Model, doc_id: str
     usable labels every document gets the lowest level. Extra columns are ignored.
     """
     stats = written(sentence_stats(docs, model, doc_id, text), "sentence-stats")
-    feats = features(stats, baselines(stats))
+    feats = written(features(stats, baselines(stats)), "reading-features")
     ranker = train_ranker(feats, labels)
     scored = feats.withColumn("score", ranker.score())
     scored = scored.withColumn("level", ranker.level(F.col("score")).cast("int"))
