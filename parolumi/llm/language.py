@@ -225,7 +225,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """
     code = label_language(F.col(lang))
     labelled = docs.select(F.col(doc_id).alias("i"), code.alias("y"), F.col(text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("y").isin(LANGUAGES))
-    rows = bounded_sample(labelled, "i", sample_docs).select("y", "t").collect()
+    rows = sorted(bounded_sample(labelled, "i", sample_docs).select("i", "y", "t").collect())
     bags, truth = [], []
     for r in rows:
         for s in sentences_of(r.t):

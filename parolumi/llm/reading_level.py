@@ -120,7 +120,7 @@ class Ranker:
     """A linear score and the steps that turn it into levels. A feature that is
     missing counts as its mean."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = 200_000, steps: int = 400, reg: float = 1e-3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = 400_000, steps: int = 400, reg: float = 1e-3):
         there = ~np.isnan(x)
         self.mean = np.where(there, x, 0).sum(0) / np.maximum(1, there.sum(0))
         x = np.where(there, x, self.mean)
@@ -200,7 +200,8 @@ class Ranker:
 def train_ranker(feats: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Ranker:
     """Fits on the driver, on at most ``sample_docs`` graded documents (lowest hash of id)."""
     graded = bounded_sample(majority(labels).where("doc_id is not null"), "doc_id", sample_docs)
-    rows = feats.join(graded, "doc_id").select(*FEATURES, "level").toPandas()
+    # in order of id, so that the pairs drawn are the same on any cluster
+    rows = feats.join(graded, "doc_id").select("doc_id", *FEATURES, "level").toPandas().sort_values("doc_id", kind="stable")
     return Ranker(rows[FEATURES].to_numpy(float), rows["level"].to_numpy())
 
 

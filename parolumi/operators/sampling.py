@@ -104,7 +104,7 @@ def phrases(segments: DataFrame, spoken: DataFrame, k: int, seed: str) -> DataFr
     form, the rest without."""
     s = segments.where((F.coalesce("explanation", F.lit("")) != "") & (F.size("words") >= 3))
     forms = s.select("video_id", "seg_index", F.explode("words").alias("w")).select("video_id", "seg_index", X.form_norm(F.col("w.text")).alias("form"))
-    slangy = forms.join(F.broadcast(spoken), "form", "left_semi").select("video_id", "seg_index").distinct()
+    slangy = forms.join(spoken, "form", "left_semi").select("video_id", "seg_index").distinct()
     key = ["video_id", "seg_index"]
     h = X.digest_order(seed, F.col("video_id"), F.col("seg_index").cast("string"))
     a = s.join(slangy, key, "left_semi").withColumn("_h", h).orderBy("_h", *key).limit(k * 2 // 3).withColumn("slang", F.lit(True))

@@ -15,12 +15,6 @@ def _transcripts(spark, d):
     return A.named(T.transcripts(spark, d))
 
 
-def _references(spark, d):
-    """What was said in a video: its segments' texts in order."""
-    s = T.segments(spark, d).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_index", "text"))).alias("s"))
-    return s.select("video_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("ref"))
-
-
 def asr_quality_leaderboard(spark, d):
     return A.leaderboard(_transcripts(spark, d), ANCHOR)
 
