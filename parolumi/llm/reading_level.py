@@ -55,12 +55,14 @@ def baselines(stats: DataFrame) -> dict[str, float]:
     return {r.lang: r.n for r in rows}
 
 
-def features(stats: DataFrame, base: dict[str, float], long_ratio: float = 1.2) -> DataFrame:
+def features(stats: DataFrame, base: dict[str, float], long_excess: float = 0.8, mostly: float = 0.4) -> DataFrame:
     """``stats`` with the columns FEATURES; texts without words get nulls.
 
-    long_share and long_sentences are the shares of words and sentences in sentences whose
-    words are ``long_ratio`` times as long as usual; mostly_long is 1 where at least half of
-    the sentences are such. log_sentence (logarithm of the words in a sentence),
+    A sentence has long words if their mean length exceeds the language's by
+    ``long_excess`` divided by the root of its number of words: means of few words vary
+    more. long_share and long_sentences are the shares of words and of sentences in such
+    sentences; mostly_long is 1 from a share of ``mostly`` of the sentences on. log_sentence
+    (logarithm of the words in a sentence),
     beyond_twelve (what it has beyond twelve words) and commas (per word) are null
     where most of a text has no sentence marks.
     """
@@ -80,7 +82,7 @@ def features(stats: DataFrame, base: dict[str, float], long_ratio: float = 1.2)
     zero = F.struct(*[F.lit(0.0).alias(c) for c in sums])
 
     def step(acc: Column, x: Column) -> Column:
-        long = x["ratio"] >= long_ratio
+        long = (x["ratio"] - 1) * F.sqrt(x["words"].cast("double")) >= long_excess
         more = {
             "n": x["words"].cast("double"),
             "whole": x["whole"].cast("double"),
@@ -100,7 +102,7 @@ def features(stats: DataFrame, base: dict[str, float], long_ratio: float = 1.2)
         (F.col("length") / F.col("n")).alias("word_length"),
         (F.col("long_words") / F.col("n")).alias("long_share"),
         (F.col("long_parts") / F.col("parts")).alias("long_sentences"),
-        F.when(F.col("long_parts") * 2 >= F.col("parts"), 1.0).otherwise(0.0).alias("mostly_long"),
+        F.when(F.col("long_parts") >= F.col("parts") * mostly, 1.0).otherwise(0.0).alias("mostly_long"),
         log_sentence.alias("log_sentence"),
         F.greatest(F.lit(0.0), log_sentence - F.log(F.lit(12.0))).alias("beyond_twelve"),
         F.when(marked, F.col("marks") / F.greatest(F.lit(1.0), F.col("whole"))).alias("commas"),
