@@ -164,3 +164,13 @@ ORACLES = {
     "raw_word_reader": _SIDE_SQL
     + " select file_id, pos, trim(w->>'$.text') as text, try_cast(w->>'$.start' as double) as start_s, w->>'$.speaker_id' as speaker_id, try_cast(w->>'$.logprob' as double) as logprob from r where coalesce(w->>'$.type', 'word') in ('word', 'punctuation') and trim(coalesce(w->>'$.text', '')) <> ''",
 }
+ORACLES["diarized_runs"] = (
+    _SIDE_SQL
+    + """, o as (select file_id, pos, coalesce(w->>'$.text', '') as t, case when coalesce(w->>'$.type', 'word') = 'word' then coalesce(w->>'$.speaker_id', 'speaker_0') end as own from r),
+ l as (select *, last_value(own ignore nulls) over (partition by file_id order by pos rows between unbounded preceding and current row) as sp from o), k as (select * from l where sp is not null),
+ c as (select *, case when sp is not distinct from lag(sp) over (partition by file_id order by pos) then 0 else 1 end as n from k), g as (select *, sum(n) over (partition by file_id order by pos) as run from c),
+ x as (select file_id, run::BIGINT as run, sp, trim(string_agg(t, '' order by pos)) as text from g group by 1, 2, 3)
+ select file_id, run, case when regexp_matches(sp, '^speaker_[0-9]+$') then 'Speaker ' || (substr(sp, 9)::INT + 1) else sp end as speaker, text from x where text <> ''"""
+)
+ORACLES["event_commits"] = """with f as (select distinct on (file_id) file_id, body from raw_sidecars order by file_id), ok as (select file_id, body::JSON as j from f where json_valid(body)), e as (select file_id, unnest(range(json_array_length(j, '$.events')::BIGINT)) as pos, j from ok where json_type(j, '$.events') = 'ARRAY'),
+ r as (select file_id, pos, json_extract(j, '$.events[' || pos || ']') as e from e) select file_id, coalesce(string_agg(trim(e->>'$.text'), ' ' order by pos) filter (where e->>'$.message_type' = 'committed_transcript' and trim(coalesce(e->>'$.text', '')) <> ''), '') as text, count(*) filter (where e->>'$.message_type' = 'error')::BIGINT as errors from r group by 1"""
