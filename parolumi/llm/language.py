@@ -216,15 +216,15 @@ class Model:
         return lang, sure
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 4000, max_sentences: int = 12_000) -> Model:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 4000, max_sentences: int = 12_000, longest: int = 50_000) -> Model:
     """Fits the machines on the driver.
 
     The sample is bounded: the ``sample_docs`` labelled documents with the lowest
-    hash of their id, of whose sentences ``max_sentences`` at most are taken at even
-    steps. Languages of which no labelled sentence is there are not told apart.
+    hash of their id among those of ``longest`` characters at most, of whose sentences
+    ``max_sentences`` at most are taken at even steps. Languages of which no labelled sentence is there are not told apart.
     """
     code = label_language(F.col(lang))
-    labelled = docs.select(F.col(doc_id).alias("i"), code.alias("y"), F.col(text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("y").isin(LANGUAGES))
+    labelled = docs.select(F.col(doc_id).alias("i"), code.alias("y"), F.col(text).alias("t")).where(F.col("i").isNotNull() & (F.length("t") <= longest) & F.col("y").isin(LANGUAGES))
     rows = sorted(bounded_sample(labelled, "i", sample_docs).select("i", "y", "t").collect())
     bags, truth = [], []
     for r in rows:
