@@ -43,3 +43,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     if total > 2 * rows:
         df = df.where(place < int((1 << 40) * (2 * rows / total)))
     return df.orderBy(place, key).limit(rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than there are cores, as one
+    small file has; larger inputs are left as they lie. For work in Python that
+    costs far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
