@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parolumi.session import bounded_sample
+from parolumi.session import bounded_sample, spread
 
 # Languages told apart, by family.
 FAMILIES = {
@@ -399,7 +399,8 @@ def document_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", te
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(lang)).alias("label_lang"), F.col(text).alias("text")).mapInPandas(
+    kept = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), label_language(F.col(lang)).alias("label_lang"), F.col(text).alias("text"))
+    return spread(kept).mapInPandas(
         run,
         "doc_id bigint, label_lang string, detected string, confidence double, share double, second string, second_share double, mixed boolean, stretch_langs array<string>, stretch_letters array<int>",
     )
@@ -482,7 +483,7 @@ def segment_languages(segments: DataFrame, model: Model, key: list[str], words:
             more = pd.DataFrame(rows, columns=["lang", "confidence", "first_word", "last_word", "words", "total_words", "main_lang"])
             yield pd.concat([out, more], axis=1)
 
-    return kept.mapInPandas(run, f"{schema}, lang string, confidence double, first_word int, last_word int, words int, total_words int, main_lang string")
+    return spread(kept).mapInPandas(run, f"{schema}, lang string, confidence double, first_word int, last_word int, words int, total_words int, main_lang string")
 
 
 def issues(documents: DataFrame) -> DataFrame:

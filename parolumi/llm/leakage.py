@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from parolumi.session import spread
+
 #: Marks that Armenian writes inside a word and joiners: removed, not word breaks.
 _INSIDE = re.compile("[՚-՞\u00ad\u200b-\u200d\u2060\ufeff\u0300-\u036f]")
 _WORD = re.compile(r"[^\W_]+")
@@ -209,6 +211,7 @@ def leaks(
     texts = corpus.select(F.col(corpus_id).cast("bigint").alias("doc_id"), F.col(corpus_text).alias("text")).where(
         "doc_id is not null and text is not null"
     )
+    texts = spread(texts)
     total = wanted.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     parts = []

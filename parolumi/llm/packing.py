@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from parolumi.session import written
+from parolumi.session import spread, written
 
 #: Where the public tokenizers' vocabulary files lie; a parameter of the operators.
 TOKENIZER_DIR = os.environ.get("PAROLUMI_TOKENIZERS", "/opt/tokenizers")
@@ -41,7 +41,8 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "tokens": [len(coder.encode_ordinary(t)) if t else 0 for t in f["text"]]})
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInPandas(run, "doc_id bigint, tokens bigint")
+    kept = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    return spread(kept).mapInPandas(run, "doc_id bigint, tokens bigint")
 
 
 class Bins:

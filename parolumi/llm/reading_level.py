@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parolumi.llm.language import Model, Sentences, in_slices
-from parolumi.session import bounded_sample, written
+from parolumi.session import bounded_sample, spread, written
 
 #: Features of a document, in order.
 FEATURES = ["word_length", "long_share", "long_sentences", "mostly_long", "log_sentence", "beyond_twelve", "commas"]
@@ -45,7 +45,8 @@ def sentence_stats(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
                     }
                 )
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInPandas(run, _STATS)
+    kept = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    return spread(kept).mapInPandas(run, _STATS)
 
 
 def baselines(stats: DataFrame) -> dict[str, float]:
