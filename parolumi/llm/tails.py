@@ -91,7 +91,7 @@ def window_counts(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def with_tails(values: DataFrame, key: list[str], value: str = "value") -> DataFrame:
-    """``key`` columns, size (characters) and TAIL_SCHEMA of every non-null value; the
+    """``key`` columns, size (characters), bytes and TAIL_SCHEMA of every non-null value; the
     values themselves are not carried on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +101,7 @@ def with_tails(values: DataFrame, key: list[str], value: str = "value") -> DataF
             tails = pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds, cols)})
             yield pd.concat([f.drop(columns="value").reset_index(drop=True), tails], axis=1)
 
-    kept = values.where(F.col(value).isNotNull()).select(*key, F.length(value).alias("size"), F.col(value).alias("value"))
+    kept = values.where(F.col(value).isNotNull()).select(*key, F.length(value).alias("size"), F.octet_length(value).alias("bytes"), F.col(value).alias("value"))
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in kept.schema if c.name != "value")
     return kept.mapInPandas(run, f"{schema}, {TAIL_SCHEMA}")
 

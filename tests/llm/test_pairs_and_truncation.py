@@ -39,6 +39,23 @@ def test_limit(spark):
     assert [(r.limit_group, r.limit_size) for r in lim] == [("m", 60)]
 
 
+def test_limit_below_longer_texts(spark):
+    texts = [t if len(t) < 60 else (t + " " + t)[:60] for t in corpus(400, 3)] + ["Տատիկը երգում է բակում։ " * 9, "Բժիշկը գրում է լճի մոտ։ " * 30]
+    lim = R.limits(chunks(spark, texts), "model", "text").collect()
+    assert [(r.limit_group, r.limit_size) for r in lim] == [("m", 60)]
+
+
+def test_limit_in_bytes(spark):
+    rng = random.Random(5)
+    whole = corpus(400, 6)
+    long = []
+    for _ in range(40):
+        end = f" {rng.choice(whole)} Հյուրը խոսում է բակում"
+        long.append("a" * (200 + rng.randint(0, 1) - len(end.encode())) + end)
+    texts = whole + long + ["Հյուրը գրում է բակում։ " * 12, "Հյուրը խոսում է բակում"]
+    assert cut(chunks(spark, texts)) == set(range(len(whole), len(whole) + len(long)))
+
+
 def test_truncation_of_nothing(spark):
     assert R.truncated(chunks(spark, []), ["chunk_id"], "model", "text").count() == 0
     assert cut(chunks(spark, [None, "", "բառ " * 100_000, "մի խոսք։"])) == {2}
