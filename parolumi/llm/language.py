@@ -216,6 +216,19 @@ class Model:
         return lang, sure
 
 
+    def word_scores(self, means: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Languages, and each one's score for rows of word scores: its family's, less
+        what speaks for its relatives."""
+        s = means + self.bias
+        langs = [x for f in self.families for x in self.members[f]]
+        out = np.stack([s[:, k] for k, f in enumerate(self.families) for _ in self.members[f]], 1)
+        for n, (a, b) in enumerate(self.pairs):
+            x = s[:, len(self.families) + n]
+            out[:, langs.index(a)] += np.minimum(0, x)
+            out[:, langs.index(b)] += np.minimum(0, -x)
+        return langs, out
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 4000, max_sentences: int = 12_000, longest: int = 50_000) -> Model:
     """Fits the machines on the driver.
 
@@ -279,7 +292,9 @@ class Sentences:
 
     A sentence of more than ``long_sentence`` words (text without punctuation) is
     taken in pieces of ``piece`` words. Where the language of ``window`` words around
-    changes inside it, the pieces end there, unless fewer than five words remain.
+    changes inside it, the pieces end there, unless fewer than five words remain. A
+    shorter one in a text without sentence marks is divided at the ``borders`` of
+    languages only, as it may be several sentences, of three words at least.
     """
 
     def __init__(self, model: Model, texts: list[str | None], long_sentence: int = 40, piece: int = 15, window: int = 7):
@@ -302,7 +317,11 @@ class Sentences:
         starts, first = [], 0
         owner: list[int] = []
         for k, c in enumerate(count):
-            if c <= long_sentence:
+            if c <= long_sentence and unmarked[k]:
+                cuts = self._changes(model, m[first : first + c])
+                starts += [first + x for x in cuts]
+                owner += [k] * len(cuts)
+            elif c <= long_sentence:
                 starts.append(first)
                 owner.append(k)
             else:
@@ -322,6 +341,14 @@ class Sentences:
         else:
             self.letters, self.lang, self.sure = at, np.zeros(0, object), np.zeros(0)
 
+    @staticmethod
+    def _changes(model: Model, m: np.ndarray, least: int = 3, price: float = 3.0) -> list[int]:
+        if len(m) < 2 * least:
+            return [0]
+        c = np.concatenate([np.zeros((1, m.shape[1])), np.cumsum(m, 0, dtype=np.float64)])
+        lang, _ = model.decide((c[least:] - c[:-least]) / least)
+        return borders(model.word_scores(m)[1], least, price, False, False) if (lang != lang[0]).any() else [0]
+
     @staticmethod
     def _cuts(model: Model, m: np.ndarray, piece: int, window: int) -> list[int]:
         c = np.concatenate([np.zeros((1, m.shape[1])), np.cumsum(m, 0, dtype=np.float64)])
@@ -406,11 +433,51 @@ def document_languages(docs: DataFrame, model: Model, doc_id: str = "doc_id", te
     )
 
 
-def word_runs(model: Model, words: list[str | None], min_run: int = 3) -> list[tuple[str, int, int, float]]:
+def borders(scores: np.ndarray, least: int, price: float, begun: bool, goes_on: bool) -> list[int]:
+    """First words of the stretches into which words with ``scores`` (words by
+    languages) are best divided, every change of language costing ``price``.
+
+    A stretch has ``least`` words; the first may have fewer if it continues words before
+    (``begun``), the last if it goes on in words behind (``goes_on``).
+    """
+    total = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, 0)])
+    n, k = scores.shape
+    best = np.full((n + 1, k), -np.inf)  # of the words so far, the last stretch being in this language and long enough
+    came = np.zeros((n + 1, k), np.int64)  # where that stretch began
+    before = np.zeros((n + 1, k), np.int64)  # the language of the stretch before it
+    for j in range(1, n + 1):
+        if j >= (1 if begun else least):
+            best[j] = total[j]
+        stay = best[j - 1] + scores[j - 1]
+        take = (came[j - 1] > 0) & (stay > best[j])
+        best[j], came[j], before[j] = np.where(take, stay, best[j]), np.where(take, came[j - 1], 0), np.where(take, before[j - 1], 0)
+        for size in range(1 if goes_on and j == n else least, least + 1):
+            i = j - size
+            if i < 1:
+                continue
+            top = best[i].argmax()
+            other = np.full(k, best[i][top])
+            which = np.full(k, top)
+            if k > 1:
+                rest = np.where(np.arange(k) == top, -np.inf, best[i])
+                other[top], which[top] = rest.max(), rest.argmax()
+            new = other + total[j] - total[i] - price
+            take = new > best[j]
+            best[j], came[j], before[j] = np.where(take, new, best[j]), np.where(take, i, came[j]), np.where(take, which, before[j])
+    starts, j, x = [], n, int(best[n].argmax())
+    while came[j][x] > 0:
+        starts.append(int(came[j][x]))
+        j, x = starts[-1], int(before[j][x])
+    return [0, *reversed(starts)]
+
+
+def word_runs(model: Model, words: list[str | None], min_run: int = 3, price: float = 2.0) -> list[tuple[str, int, int, float]]:
     """(language, first, last + 1, confidence) of the stretches of a word list.
 
-    Successive words in one script make a run, judged as a whole; runs of fewer than
-    ``min_run`` words, numbers and words without letters go with their neighbours.
+    Successive words in one script make a run. Where windows of ``min_run`` words of a run
+    are not all of the run's language, it is divided at the ``borders`` of languages.
+    Stretches of fewer than ``min_run`` words, numbers and words without letters go with
+    their neighbours.
     """
     tokens, places = [], []
     for i, w in enumerate(words):
@@ -427,9 +494,24 @@ def word_runs(model: Model, words: list[str | None], min_run: int = 3) -> list[t
         else:
             runs.append([s, k, k + 1])
     m = model.matrix(tokens)
-    lang, sure = model.decide(np.array([m[a:b].mean(0) for _, a, b in runs]))
+    parts = np.array([(a, b) for _, a, b in runs])
+    windows = np.array([(a, a + min_run) for _, first, end in runs if end - first > min_run for a in range(first, end - min_run + 1)], dtype=np.int64).reshape(-1, 2)
+    c = np.concatenate([np.zeros((1, m.shape[1])), np.cumsum(m, 0, dtype=np.float64)])
+    mean = lambda x: (c[x[:, 1]] - c[x[:, 0]]) / (x[:, 1] - x[:, 0])[:, None]
+    lang, sure = model.decide(mean(np.concatenate([parts, windows])))
+    strange = windows[lang[len(parts) :] != lang[: len(parts)][np.searchsorted(parts[:, 0], windows[:, 0], "right") - 1], 0]
+    if len(strange):
+        divided: list[tuple[int, int]] = []
+        for a, b in parts.tolist():
+            starts = [0]
+            if np.searchsorted(strange, a) < np.searchsorted(strange, b):
+                starts = borders(model.word_scores(m[a:b])[1], min_run, price, a > 0, b < len(tokens))
+            divided += [(a + x, a + y) for x, y in zip(starts, [*starts[1:], b - a])]
+        if len(divided) > len(parts):
+            parts = np.array(divided)
+            lang, sure = model.decide(mean(parts))
     joined: list[list] = []  # language, first word, last word + 1, confidence, words
-    for (_, a, b), x, p in zip(runs, lang, sure):
+    for (a, b), x, p in zip(parts.tolist(), lang, sure):
         first, last = places[a], places[b - 1] + 1
         if joined and joined[-1][0] == x:
             j = joined[-1]

@@ -1,5 +1,7 @@
 import random
+from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,38 @@ def test_segments(spark, model):
     assert by[1] == {"hy", "en"} and by[2] == {"hy"} and by[3] == {"hy"} and by[7] == {"ru", "hy"} and not {4, 5, 6} & set(by)
 
 
+def test_segments_in_one_script(spark, model):
+    rows = [
+        (1, WORDS["en"][:6] + WORDS["fr"][1:5] + WORDS["en"][6:12]), (2, LATIN_HY[:6] + WORDS["en"][:4]), (3, WORDS["hy"][:5] + LATIN_HY[:4] + WORDS["en"][8:12]),
+        (4, WORDS["en"]), (5, WORDS["fr"][:4] + WORDS["en"][:1] + WORDS["fr"][4:]), (6, LATIN_HY),
+    ]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    by = {}
+    for r in L.segment_languages(df, model, ["k"], F.col("w")).collect():
+        by.setdefault(r.k, set()).add(r.lang)
+    assert by == {1: {"en", "fr"}, 2: {"hy", "en"}, 3: {"hy", "en"}, 4: {"en"}, 5: {"fr"}, 6: {"hy"}}
+
+
+def test_short_text_without_marks(spark, model):
+    rows = [(1, " ".join(WORDS["hy"][:9] + WORDS["ru"][:5]), "hy"), (2, " ".join(WORDS["en"][:8] + WORDS["fr"][1:9]), "en"), (3, " ".join(WORDS["en"]), "en"), (4, " ".join(WORDS["hy"][:9] + WORDS["ru"][:1]), "hy")]
+    got = L.issues(L.document_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model)).collect()
+    assert sorted(map(tuple, got)) == [(1, "mixed", "hy"), (1, "mixed", "ru"), (2, "mixed", "en"), (2, "mixed", "fr")]
+
+
+def test_borders_are_the_best():
+    rng = np.random.default_rng(3)
+    for n, least, begun, goes_on in [(n, least, b, g) for n in range(4, 9) for least in (1, 2, 3) for b in (False, True) for g in (False, True)]:
+        scores, price = rng.normal(0, 2, (n, 3)), 1.5
+        worth = {}
+        for inner in range(1 << (n - 1)):
+            cuts = [0, *[i for i in range(1, n) if inner >> (i - 1) & 1], n]
+            sizes = np.diff(cuts)
+            if len(sizes) > 1 and all(s >= least or (k == 0 and begun) or (k == len(sizes) - 1 and goes_on) for k, s in enumerate(sizes)) or len(sizes) == 1:
+                langs = [scores[a:b].sum(0) for a, b in zip(cuts, cuts[1:])]
+                worth[tuple(cuts[:-1])] = max(sum(x[k] for x, k in zip(langs, ks)) for ks in product(range(3), repeat=len(langs)) if all(p != q for p, q in zip(ks, ks[1:]))) - price * (len(langs) - 1)
+        assert tuple(L.borders(scores, least, price, begun, goes_on)) == max(worth, key=worth.get)
+
+
 def test_long_text(spark, model):
     df = spark.createDataFrame([(1, "բառ ուրիշ " * 100_000, "hy")], "doc_id bigint, text string, lang string")
     assert L.document_languages(df, model).first().detected == "hy"
