@@ -15,7 +15,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from parolumi.llm import tails
+from parolumi.llm import tails, truncation
 from parolumi.session import written
 
 # What stands for "no text".
@@ -156,17 +156,18 @@ def judged(segments: DataFrame, key: list[str]) -> DataFrame:
                 # numbers and signs are often left out of a translation
                 flat = [x for w, g in words if spoken_form(w)[1] for x in gloss(g).words] if two is None else []
                 one = explanation_defect(text, said, flat)
-                state, key1, key2, covered = None, None, None, None
+                state, key1, key2, covered, size = None, None, None, None, (None, None)
                 if one is None:
                     state, _, _, key1, key2 = tails.tail_of(said)
                     if state in ("final", "blank"):
                         state = None
-                    elif flat:
-                        covered = coverage(flat, tails.words_of(said))
+                    else:
+                        size = (len(said), len(said.encode()))
+                        covered = coverage(flat, tails.words_of(said)) if flat else None
                 if one or two or state:
                     at.append(i)
-                    rows.append((one, two, covered, state, key1, key2))
-            kinds = [("on_explanation", object), ("on_words", object), ("covered", "Float64"), ("state", object), ("key1", "Int64"), ("key2", "Int64")]
+                    rows.append((one, two, covered, state, key1, key2, *size))
+            kinds = [("on_explanation", object), ("on_words", object), ("covered", "Float64"), ("state", object), ("key1", "Int64"), ("key2", "Int64"), ("size", "Int32"), ("bytes", "Int32")]
             cols = list(zip(*rows)) or [()] * len(kinds)
             found = pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds, cols)})
             yield pd.concat([f[key].iloc[at].reset_index(drop=True), found], axis=1)
@@ -174,22 +175,29 @@ def judged(segments: DataFrame, key: list[str]) -> DataFrame:
     types = dict(segments.dtypes)
     names = ", ".join(f"`{k}` {types[k]}" for k in key)
     kept = segments.select(*key, "text", "explanation", "word_texts", "glosses")
-    return kept.mapInPandas(run, f"{names}, on_explanation string, on_words string, covered double, state string, key1 bigint, key2 bigint")
+    return kept.mapInPandas(run, f"{names}, on_explanation string, on_words string, covered double, state string, key1 bigint, key2 bigint, size int, bytes int")
 
 
 def defects(segments: DataFrame, key: list[str], least_covered: float = 0.7) -> DataFrame:
     """One row (key, field_name, defect) per defective pair.
 
     A translation is truncated if its end breaks off (``tails``), or lacks its final
-    mark and covers less than ``least_covered`` of the glosses of the segment's words.
+    mark and covers less than ``least_covered`` of the glosses of the segment's words, or
+    ends with a word at a length at which translations are cut (``truncation.limits``).
     Rows equal in everything but delivery count once; rows with a null in the key are left
     out; an empty table gives no rows.
     """
     own = segments.dropna(subset=key)
     counts = tails.window_counts(own, "explanation")
     rows = written(judged(own, key).distinct(), "judged-pairs")
-    doubtful = rows.where("state is not null").select(*key, "state", "covered", "key1", "key2")
-    cut = tails.with_evidence(doubtful, counts, key).where(tails.breaks_off() | (F.col("covered") < least_covered))
+    doubtful = rows.where("state is not null").select(*key, "state", "covered", "key1", "key2", "size", "bytes")
+    said = own.where("explanation is not null").select(F.lit("explanation").alias("field"), F.col("explanation").alias("value"))
+    doubtful = tails.with_evidence(doubtful, counts, key)
+    for unit, measure in (("size", F.length), ("bytes", F.octet_length)):
+        lim = truncation.limits(said, "field", measure=measure).select(F.col("limit_size").alias(unit), F.lit(True).alias(f"{unit}_limit"))
+        doubtful = doubtful.join(lim, unit, "left")
+    at_limit = (F.col("state") == "bare") & F.coalesce("size_limit", "bytes_limit", F.lit(False))
+    cut = doubtful.where(tails.breaks_off() | (F.col("covered") < least_covered) | at_limit)
     field = lambda name, defect: F.struct(F.lit(name).alias("field_name"), defect.alias("defect"))
     by_rule = rows.select(*key, F.explode(F.array(field("explanation", F.col("on_explanation")), field("words", F.col("on_words")))).alias("d")).select(*key, "d.*").where("defect is not null")
     return by_rule.unionByName(cut.select(*key, F.lit("explanation").alias("field_name"), F.lit("truncated").alias("defect"))).distinct()

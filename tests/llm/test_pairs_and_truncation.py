@@ -95,6 +95,15 @@ def test_defects(spark):
     assert got == {(b[1], f, d) for b, f, d in bad}
 
 
+def test_translations_cut_at_a_limit(spark):
+    t = "Տատիկը երգում է բակում։"
+    good = [seg(100 + i, t, "Бабушка поёт во дворе" + "." * (i > 0)) for i in range(20)]
+    long = [seg(200 + i, t, f"Бабушка {'аоеиуы'[i] * 30} поёт во дворе") for i in range(6)]
+    rows = spark.createDataFrame(good + long + [seg(300, t, "Бабушка поёт во дворе. " * 9)], PSCHEMA)
+    got = {(r.seg_index, r.field_name, r.defect) for r in P.defects(rows, ["video_id", "seg_index"]).collect()}
+    assert got == {(200 + i, "explanation", "truncated") for i in range(6)}
+
+
 def test_defects_of_odd_rows(spark):
     e = spark.createDataFrame([], PSCHEMA)
     assert P.defects(e, ["video_id", "seg_index"]).count() == 0
