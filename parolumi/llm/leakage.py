@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ def words_of(text: str | None) -> list[str]:
 class ItemIndex:
     """The words of a block of items as numbers, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], seed_words: int):
+    def __init__(self, items: list[tuple[int, str]], seed_words: int, min_share: float = 0.5, min_equal: float = 0.8):
         split = [(i, w) for i, t in items if (w := words_of(t))]
         self.vocab = {w: n for n, w in enumerate(sorted({x for _, w in split for x in w}), 1)}
         self.ids = np.array([i for i, _ in split], dtype=np.int64)
@@ -55,6 +57,10 @@ class ItemIndex:
         # as many words in one number as fit; shorter items are sought by fewer words
         fit = int(62 / np.log2(max(self.base, 2)))
         self.seed = max(1, min(seed_words, fit, int(self.size.min()) if len(split) else seed_words))
+        while self.seed > 1 and any(fewest_seeds(w, self.seed, min_share, min_equal) < 1 for w in set(self.size.tolist())):
+            self.seed -= 1
+        #: For each item, how many seeds any of its passages has at least.
+        self.sure = np.array([fewest_seeds(w, self.seed, min_share, min_equal) for w in self.size.tolist()], dtype=np.int64)
         self.text = np.array(flat + [0] * self.seed, dtype=np.int64)
         self.longest = int(self.size.max()) if len(split) else 0
         grams, whole = packed(self.text, self.seed, self.base)
@@ -64,6 +70,17 @@ class ItemIndex:
         self.item_of = np.searchsorted(self.first, self.at, side="right") - 1
 
 
+@lru_cache(100_000)
+def fewest_seeds(words: int, n: int, min_share: float, min_equal: float) -> int:
+    """How many runs of ``n`` equal words a passage of an item of ``words`` words has at
+    least, its replaced words being spread so that they break as many as they can."""
+    fewest = words
+    for span in range(max(1, ceil(min_share * words - 1e-9)), words + 1):
+        replaced = min(span - ceil(min_equal * span - 1e-9), (span - 1) // 2)
+        fewest = min(fewest, max(0, span - replaced - (n - 1) * (replaced + 1)))
+    return fewest
+
+
 def packed(a: np.ndarray, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """For each position the next ``n`` words as one number, and whether all are words."""
     m = len(a) - n + 1
@@ -140,7 +157,7 @@ def search_shard(tokens: np.ndarray, index: ItemIndex, min_seeds: int) -> pd.Dat
     new = np.concatenate([[True], (pair[1:] != pair[:-1]).any(1)])
     seeds = np.diff(np.concatenate([np.flatnonzero(new), [len(pair)]]))
     pair = pair[new]
-    enough = seeds >= np.minimum(min_seeds, index.size[pair[:, 0]] - n + 1)
+    enough = seeds >= np.minimum(min_seeds, index.sure[pair[:, 0]])
     return read_diagonals(tokens, index, pair[enough])
 
 
@@ -193,7 +210,7 @@ def leaks(
     words). Case, punctuation and the amount of white space don't count; single
     words may be replaced, as long as ``min_equal`` of the passage is equal.
     ``seed_words`` words in a row must be equal ``min_seeds`` times for a place to
-    be read (fewer in items that have no room for so many). Items are the query set: they are sent to the
+    be read (fewer, and fewer words, where a passage of an item may have fewer). Items are the query set: they are sent to the
     executors in blocks of at most ``block_words`` words (one item may exceed
     it), each block against all documents. The corpus is never shuffled.
 
@@ -217,7 +234,7 @@ def leaks(
     parts = []
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).select("i", "t").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], seed_words))
+        index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], seed_words, min_share, min_equal))
         parts.append(texts.mapInPandas(_searcher(index, min_share, min_equal, min_seeds, shard_words), MATCH_SCHEMA))
     out = parts[0]
     for p in parts[1:]:

@@ -88,3 +88,15 @@ def test_blocks_and_shards_change_nothing(spark):
     one = sorted(map(tuple, K.leaks(d, items(spark, its)).collect()))
     many = sorted(map(tuple, K.leaks(d, items(spark, its), block_words=20, shard_words=5).collect()))
     assert one == many and len(one) == 30
+
+
+def test_few_seeds(spark):
+    eight, ten, twenty = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 8), ("b", 10), ("c", 20)))
+    part = twenty[4:14]
+    part[3] = part[7] = "other"
+    mixed = ten[:2] + ["other"] + ten[3:5]
+    its = items(spark, [(1, " ".join(eight)), (2, " ".join(ten)), (3, " ".join(twenty))])
+    ds = docs(spark, [(1, "so " + " ".join(eight[2:6]) + " on"), (2, "so " + " ".join(mixed)), (3, " ".join(part)), (4, " ".join(eight[:3])), (5, " ".join(twenty[:9]))])
+    assert {(r.doc_id, r.item_id) for r in K.leaks(ds, its).collect()} == {(1, 1), (2, 2), (3, 3)}
+    for lot in (eight, ten, twenty):
+        assert K.leaks(ds, items(spark, [(7, " ".join(lot))])).count() == 1
