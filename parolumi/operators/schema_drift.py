@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -41,12 +43,22 @@ def leaves(value, path: str = "", place: float = 0.0) -> Iterator[tuple[str, str
         yield path, kind, value, place
 
 
+@lru_cache(100_000)
+def script(ch: str) -> str:
+    return unicodedata.name(ch, "?").split(" ")[0]
+
+
+@lru_cache(100_000)
+def sign(ch: str) -> str:
+    return "9" if ch.isdigit() else script(ch)[:4].lower() if ch.isalpha() else " " if ch.isspace() else ch
+
+
 def shape(text: str) -> str:
     """The pattern of a string: runs of letters by script, of digits, other signs as
     they are, repeated words as one."""
     out: list[str] = []
-    for ch in text[:200]:
-        c = "9" if ch.isdigit() else unicodedata.name(ch, "?").split(" ")[0][:4].lower() if ch.isalpha() else " " if ch.isspace() else ch
+    for ch in text:
+        c = sign(ch)
         if not out or out[-1] != c:
             out.append(c)
     return re.sub(r"\b([a-z]{4}|9)(?:,? \1)+\b", r"\1+", " ".join("" if c == " " else c for c in out).replace("  ", " "))
@@ -58,8 +70,8 @@ def outline(text: str) -> str:
     as a file's ending."""
     words = text.split()
     if len(words) >= 3:
-        scripts = [unicodedata.name(c, "?").split(" ")[0] for c in text[:200] if c.isalpha()]
-        return "text " + max(sorted(set(scripts)), key=scripts.count).lower() if scripts else "text"
+        scripts = Counter(script(c) for c in text if c.isalpha())
+        return "text " + max(sorted(scripts), key=scripts.get).lower() if scripts else "text"
     out: list[str] = []
     for word in words:
         core = word.strip(".,:;!?…։«»\"'()")

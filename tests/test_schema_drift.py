@@ -1,6 +1,6 @@
 import json
 
-from parolumi.operators.schema_drift import Drift, leaves, likeness, shape
+from parolumi.operators.schema_drift import Drift, leaves, likeness, outline, shape
 
 SCHEMA = "file_id bigint, run_dir string, run_no int, body string, path string, kind string, n int"
 
@@ -86,3 +86,9 @@ def test_likeness_needs_like_values():
     word = hist(v={"v2": 1.0}, s={"slati": 1.0}, o={"olatin": 1.0})
     assert likeness(text, word) == 0 and likeness(text, text) == 1
     assert shape("speaker_0") == "lati _ 9" and shape("մի երկու երեք։") == "arme+ ։"
+
+
+def test_patterns_of_whole_values():
+    start = "բառ " * 50
+    assert shape(start + "12:30") != shape(start)
+    assert outline(start + "слово " * 100) == "text cyrillic" and outline(start) == "text armenian"
