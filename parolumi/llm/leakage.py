@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text, found with suffix arrays.
 
 The corpus is cut into shards (runs of whole documents inside a partition).
-Each shard gets a word-level suffix array; every suffix of every held-out item
-is binary-searched in it, which gives all places that share a run of words with
-the item.  Places on one diagonal (same shift between item and document) are
+Each shard gets a word-level suffix array; the first ``seed_words`` words of every
+suffix of every held-out item are binary-searched in it, which gives all places
+that share so many words in a row with the item.  Places on one diagonal (same shift between item and document) are
 then read again word by word, so that single replaced words inside a passage
 count as part of it.
 
