@@ -97,7 +97,8 @@ class Bins:
 
     def search(self, max_tries: int = 4000, crowded: int = 12) -> None:
         """Swap-based local search until no step helps, the least number of containers
-        is reached or ``max_tries`` emptiest containers were tried.
+        is reached, ``max_tries`` emptiest containers were tried or more than 40 of them
+        in a row could not be improved.
 
         Pairs are not formed inside containers of more than ``crowded`` items. A step
         takes ``d`` tokens from a container filled ``a`` to one filled ``b`` and raises the
