@@ -27,16 +27,11 @@ def with_total(df: DataFrame, by: str, aggregates: list[Column], total: str = "A
 def auc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """Area under the ROC curve by tie-averaged ranks: (auc, positives, negatives).
 
-    Scores are counted by value first, so ranks are taken over distinct scores; auc is
+    Scores are counted by value first, so ranks are taken over distinct scores (``placed``); auc is
     null without a positive or a negative. Rows with a null score are left out.
     """
     counted = df.select(score.cast("double").alias("s"), positive.cast("int").alias("y")).where("s is not null and y is not null").groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    # distinct scores are cut into ranges; ranks inside a range start from what the ranges before hold
-    ranged = counted.withColumn("block", F.floor(F.col("s") * 100))
-    before = ranged.groupBy("block").agg(F.sum("n").alias("held"))
-    before = before.withColumn("offset", F.coalesce(F.sum("held").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("block", "offset")
-    inside = W.partitionBy("block").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    ranks = ranged.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "block").withColumn("rank", F.col("offset") + F.col("below") + (F.col("n") + 1) / 2.0)
+    ranks = placed(counted.withColumn("held", F.col("n")), [], "s", "held").withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)
     totals = ranks.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("pos"), (F.sum("n") - F.sum("p")).alias("neg"))
     return totals.select(
         F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2.0, F.col("pos").cast("double") * F.col("neg")).alias("auc"),
@@ -60,14 +55,34 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def placed(counted: DataFrame, by: list[str], value: str, count: str, ranges: int = 200) -> DataFrame:
+    """``counted`` (a row per group and distinct value, with its count) with upto (rows of
+    the group up to this value) and total (rows of the group).
+
+    The values of a group are cut into ranges of about as many distinct values each; a
+    sketch gives the limits. Counts are summed inside ranges, and over the ranges before,
+    so no group is sorted in one task; the result is exact, whatever the limits are.
+    """
+    key = [F.col(c) for c in by] or [F.lit(0)]
+    rows = counted.withColumn("_g", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
+    limits = rows.groupBy("_g").agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_limits"))
+    rows = rows.join(limits.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).drop("_h")
+    rows = rows.withColumn("_range", F.size(F.filter("_limits", lambda x: x < F.col(value)))).drop("_limits")
+    held = rows.groupBy("_g", "_range").agg(F.sum(count).alias("_held"))
+    before = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    held = held.select(F.col("_g").alias("_h"), F.col("_range").alias("_r"), F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"), F.sum("_held").over(W.partitionBy("_g")).alias("total"))
+    rows = rows.join(held, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_range") == F.col("_r")))
+    inside = W.partitionBy("_g", "_range").orderBy(value)
+    return rows.withColumn("upto", F.col("_before") + F.sum(count).over(inside)).drop("_g", "_h", "_r", "_range", "_before")
+
+
 def ranked_value(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles per group (element floor(share·n) of the sorted values,
     from 0), counted by distinct value so that no group is collected."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    group = W.partitionBy(*by)
-    placed = counted.withColumn("upto", F.sum("c").over(group.orderBy(value))).withColumn("n", F.sum("c").over(group))
+    rows = placed(counted, by, value, "c").withColumnRenamed("total", "n")
     at = lambda s: F.least(F.col("n") - 1, F.floor(F.col("n") * s)) + 1
-    return placed.groupBy(*by).agg(F.max("n").cast("bigint").alias("n"), *[F.min(F.when(F.col("upto") >= at(s), F.col(value))).alias(name) for name, s in shares.items()])
+    return rows.groupBy(*by).agg(F.max("n").cast("bigint").alias("n"), *[F.min(F.when(F.col("upto") >= at(s), F.col(value))).alias(name) for name, s in shares.items()])
 
 
 def mass_by_value(df: DataFrame, column: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
@@ -55,13 +54,13 @@ def error_rates(pairs: DataFrame, ref: Column, hyp: Column, model: str, by: str,
     are at least 1 per pair and per group.
     """
     rt, ht = X.words(X.wer_norm(ref)), X.words(X.wer_norm(hyp))
-    p = pairs.select(model, F.coalesce(F.col(by), F.lit("(none)")).alias(by), rt.alias("rt"), ht.alias("ht")).withColumns({"rc": F.split(F.array_join("rt", ""), ""), "hc": F.split(F.array_join("ht", ""), "")})
-    p = p.withColumns({"rc": F.filter("rc", lambda c: c != ""), "hc": F.filter("hc", lambda c: c != "")})
+    p = pairs.select(model, F.coalesce(F.col(by), F.lit("(none)")).alias(by), rt.alias("rt"), ht.alias("ht"))
+    p = p.select(model, by, F.size("rt").alias("words"), F.length(F.array_join("rt", "")).alias("letters"), "rt", "ht")
     if infix:
-        p = p.withColumns({"we": D.infix_distance("rt", "ht"), "ce": D.infix_distance("rc", "hc")})
+        p = p.withColumn("e", D.infix_edits(F.array_join("rt", " "), F.array_join("ht", " "))).withColumns({"we": F.col("e.words"), "ce": F.col("e.letters")})
     else:
         p = p.withColumns({"we": D.token_distance(F.col("rt"), F.col("ht")), "ce": F.levenshtein(F.array_join("rt", ""), F.array_join("ht", ""))})
-    sums = [F.count("*").alias("pairs"), F.sum("we").alias("we"), F.sum(F.greatest(F.lit(1), F.size("rt"))).alias("wn"), F.sum("ce").alias("ce"), F.sum(F.greatest(F.lit(1), F.size("rc"))).alias("cn")]
+    sums = [F.count("*").alias("pairs"), F.sum("we").alias("we"), F.sum(F.greatest(F.lit(1), F.col("words"))).alias("wn"), F.sum("ce").alias("ce"), F.sum(F.greatest(F.lit(1), F.col("letters"))).alias("cn")]
     out = p.rollup(model, by).agg(F.grouping_id(model, by).alias("g"), *sums).where("g in (0, 1)")
     rate = lambda e, n: F.round(F.col(e) / F.greatest(F.lit(1), F.col(n)), 6)
     return out.select(model, F.when(F.col("g") == 1, "ALL").otherwise(F.col(by)).alias(by), "pairs", rate("we", "wn").alias("wer"), rate("ce", "cn").alias("cer"))
@@ -72,39 +71,60 @@ def gate(transcripts: DataFrame, seconds: str) -> DataFrame:
     return transcripts.withColumn("reason", X.degenerate(F.col("text"), F.col(seconds)))
 
 
-def f_beta(hyp: Counter, ref: Counter, beta: float) -> float | None:
-    """F-beta of two multisets; None if one is empty."""
-    if not hyp or not ref:
-        return None
-    both = (hyp & ref).total()
-    if not both:
-        return 0.0
-    p, r = both / hyp.total(), both / ref.total()
-    return (1 + beta * beta) * p * r / (beta * beta * p + r)
-
-
-def chrf_score(hyp: str | None, ref: str | None, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> float:
+def _gram_scores(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of F-beta, and number of orders that both sides are long enough for, of the
+    n-grams of two lists of number sequences, all pairs at once."""
+    pairs = len(hyp)
+    total, known = np.zeros(pairs), np.zeros(pairs, np.int64)
+    size = np.array([[len(x) for x in side] for side in (hyp, ref)], np.int64).reshape(2, pairs)
+    flat = np.concatenate([*hyp, *ref]) if size.sum() else np.zeros(0, np.int64)
+    # position of each symbol from the end of its sequence, and the sequence's number
+    owner = np.repeat(np.arange(2 * pairs), size.ravel())
+    left = np.cumsum(size.ravel())[owner] - np.arange(len(flat)) if len(flat) else flat
+    symbol = np.unique(flat, return_inverse=True)[1] + 1
+    gram = np.zeros(len(flat), np.int64)
+    for n in range(1, orders + 1):
+        ahead = np.concatenate([symbol[n - 1 :], np.zeros(min(n - 1, len(symbol)), np.int64)])
+        # numbers of n-grams are made dense again at each order, so they never overflow
+        gram = np.unique(gram * (int(symbol.max(initial=0)) + 1) + ahead, return_inverse=True)[1]
+        whole = left >= n
+        # one cell for each pair and n-gram; the two sides are counted side by side
+        cell, at = np.unique((owner[whole] % max(1, pairs)) * (int(gram.max(initial=0)) + 1) + gram[whole], return_inverse=True)
+        ours = owner[whole] < pairs
+        counts = np.minimum(np.bincount(at[ours], minlength=len(cell)), np.bincount(at[~ours], minlength=len(cell)))
+        shared = np.bincount(cell // (int(gram.max(initial=0)) + 1), counts, pairs)
+        of_hyp, of_ref = np.maximum(0, size - n + 1)
+        both = (of_hyp > 0) & (of_ref > 0)
+        total += np.where(both, (1 + beta * beta) * shared / np.maximum(1, beta * beta * of_ref + of_hyp), 0)
+        known += both
+    return total, known
+
+
+def chrf_scores(hyps: pd.Series, refs: pd.Series, char_order: int = 6, word_order: int = 2, beta: float = 2.0, letters: int = 2_000_000) -> np.ndarray:
     """Mean F-beta, in percent, over character n-grams (white space removed) and word
-    n-grams; orders for which a side is too short are left out; no order at all gives 0."""
-    hw, rw = (hyp or "").split(), (ref or "").split()
-    hc, rc = "".join(hw), "".join(rw)
-    chars = lambda s, n: Counter(s[i : i + n] for i in range(len(s) - n + 1))
-    runs = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    scores = [f_beta(chars(hc, n), chars(rc, n), beta) for n in range(1, char_order + 1)]
-    scores += [f_beta(runs(hw, n), runs(rw, n), beta) for n in range(1, word_order + 1)]
-    known = [s for s in scores if s is not None]
-    return 100.0 * sum(known) / len(known) if known else 0.0
-
-
-def chrf(pairs: DataFrame, hyp: Column, ref: Column, key: list[str], char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
-    """chrF++ (``chrf_score``) of each pair. Multisets of n-grams are compared inside the row,
-    in Arrow batches: exploded, every pair would become some thousand rows to shuffle."""
+    n-grams of each pair; orders for which a side is too short are left out; no order at
+    all gives 0. Pairs are taken in slices of about ``letters`` letters, one at least."""
+    out = np.zeros(len(hyps))
+    upto = np.cumsum(hyps.str.len().fillna(0).to_numpy(np.int64) + refs.str.len().fillna(0).to_numpy(np.int64))
+    slices = np.split(np.arange(len(hyps)), np.flatnonzero(np.diff(upto // letters)) + 1)
+    for at in slices:
+        h, r = hyps.iloc[at], refs.iloc[at]
+        bare = lambda side: D.letters_of(side.map(lambda t: "".join((t or "").split())))
+        chars, n_chars = _gram_scores(bare(h), bare(r), char_order, beta)
+        words, n_words = _gram_scores(*D.numbered(h, r), word_order, beta)
+        out[at] = 100.0 * (chars + words) / np.maximum(1, n_chars + n_words)
+    return out
+
+
+def chrf(pairs: DataFrame, hyp: Column, ref: Column, key: list[str], char_order: int = 6, word_order: int = 2, beta: float = 2.0, digits: int = 4) -> DataFrame:
+    """chrF++ (``chrf_scores``) of each pair. N-grams are compared in Arrow batches:
+    exploded, every pair would become some thousand rows to shuffle."""
 
     @pandas_udf(T.DoubleType())
-    def score(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([chrf_score(h, r, char_order, word_order, beta) for h, r in zip(hyps, refs)], dtype="float64")
+    def score(h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(chrf_scores(h, r, char_order, word_order, beta), dtype="float64")
 
-    return pairs.select(*key, F.round(score(hyp, ref), 4).alias("chrf"))
+    return pairs.select(*key, F.round(score(hyp, ref), digits).alias("chrf"))
 
 
 def rank_agreement(board: DataFrame, a: str, b: str) -> DataFrame:

@@ -69,10 +69,9 @@ def confidence(word_rows: DataFrame, by: str, low: float = -0.3) -> DataFrame:
     interpolated between the two middle values."""
     w = word_rows.where("logprob is not null")
     counted = w.groupBy(by, "logprob").agg(F.count("*").alias("c"))
-    g = W.partitionBy(by)
-    placed = counted.withColumn("upto", F.sum("c").over(g.orderBy("logprob"))).withColumn("n", F.sum("c").over(g))
+    ranked = stats.placed(counted, [by], "logprob", "c").withColumnRenamed("total", "n")
     at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("logprob")))
-    middle = placed.groupBy(by).agg(F.max("n").alias("n"), at(F.floor((F.col("n") + 1) / 2)).alias("lo"), at(F.floor(F.col("n") / 2) + 1).alias("hi"), (F.sum(F.col("c") * F.exp("logprob")) / F.max("n")).alias("mean"), (F.sum(F.when(F.col("logprob") < low, F.col("c")).otherwise(0)) / F.max("n")).alias("lowr"))
+    middle = ranked.groupBy(by).agg(F.max("n").alias("n"), at(F.floor((F.col("n") + 1) / 2)).alias("lo"), at(F.floor(F.col("n") / 2) + 1).alias("hi"), (F.sum(F.col("c") * F.exp("logprob")) / F.max("n")).alias("mean"), (F.sum(F.when(F.col("logprob") < low, F.col("c")).otherwise(0)) / F.max("n")).alias("lowr"))
     vids = w.groupBy(by).agg(F.countDistinct("video_id").alias("videos"))
     return middle.join(vids, by).select(by, "videos", F.col("n").alias("words"), F.round("mean", 6).alias("mean_conf"), F.round(F.exp((F.col("lo") + F.col("hi")) / 2), 6).alias("median_conf"), F.round("lowr", 6).alias("low_conf_rate"))
 
@@ -80,9 +79,9 @@ def confidence(word_rows: DataFrame, by: str, low: float = -0.3) -> DataFrame:
 def profile(word_rows: DataFrame) -> DataFrame:
     """Nearest-rank percentiles of log probabilities and counts of foreign tokens."""
     p = {f"p{int(s * 100):02d}": s for s in (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90)}
-    ranks = stats.ranked_value(word_rows.withColumn("all", F.lit(1)), ["all"], "logprob", p)
+    ranks = stats.ranked_value(word_rows, [], "logprob", p)
     kinds = word_rows.agg(F.count("*").alias("words"), F.count_if(X.has_latin(F.col("text"))).alias("latin"), F.count_if(X.has_cyrillic(F.col("text"))).alias("cyrillic"), F.count_if(X.has_digit(F.col("text"))).alias("numeric"))
-    return kinds.crossJoin(F.broadcast(ranks.drop("all", "n")))
+    return kinds.crossJoin(F.broadcast(ranks.drop("n")))
 
 
 def validation(segments: DataFrame, least_share: float = 0.9) -> DataFrame:

@@ -61,7 +61,7 @@ def call(requests: DataFrame, provider: Provider, retries: int = 4, pause: float
                         value, error = provider(prompt), None
                         break
                     except Exception as e:  # noqa: BLE001 - errors become rows
-                        error = str(e)[:500]
+                        error = str(e)
                         if attempt + 1 < retries:
                             time.sleep(pause * (attempt + 1))
                 rows.append((task, provider.name, key, value, error, time.monotonic() - began))

@@ -4,6 +4,8 @@ equals numbering within the cap's key and limiting in that order."""
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parolumi.functions import text as X
@@ -18,36 +20,57 @@ def capped(pool: DataFrame, key: list[str], cap_by: list[str], cap: int, k: int,
     return ranked.orderBy("_h", *key).limit(k).drop("_r")
 
 
-def stratified(pools: list[tuple[str, DataFrame, int]], key: list[str], form: str, seed: str) -> DataFrame:
-    """Strata in order; a row taken by one is not taken by a later one. Of a stratum of
-    size k a form is taken at most max(2, k // 8) times. Adds stratum and place."""
-    used = None
-    out = None
-    for i, (name, pool, k) in enumerate(pools):
-        free = pool if used is None else pool.join(used, key, "left_anti")
-        part = capped(free, key, [form], max(2, k // 8), k, f"{seed}{name}")
+def stratified(tagged: DataFrame, sizes: dict[str, int], key: list[str], form: str, seed: str) -> DataFrame:
+    """Strata in the order of ``sizes``; a row taken by one is not taken by a later one. Of a
+    stratum of size k a form is taken at most max(2, k // 8) times. ``tagged`` has a column
+    strata (array of names, null or empty for none). Adds stratum and place.
+
+    One pass over ``tagged`` keeps, by stratum and form, as many rows as may be needed: the
+    cap and as many as earlier strata can have taken. The strata are then drawn from what
+    was kept.
+    """
+    keys = [F.col(c) for c in key]
+    order = ["_h", *key]
+    caps = {name: max(2, k // 8) for name, k in sizes.items()}
+    earlier = dict(zip(sizes, accumulate([0, *sizes.values()])))
+    allowed = F.create_map(*[F.lit(x) for name in sizes for x in (name, caps[name] + earlier[name])])
+    rows = tagged.withColumn("stratum", F.explode(F.filter("strata", lambda s: s.isin(*sizes)))).drop("strata")
+    rows = rows.withColumn("_h", F.md5(F.concat_ws("::", F.concat(F.lit(seed), "stratum"), *[k.cast("string") for k in keys])))
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("stratum", form).orderBy(*order)))
+    kept = ranked.where((F.col("_r") <= max(caps[n] + earlier[n] for n in sizes)) & (F.col("_r") <= allowed[F.col("stratum")])).drop("_r")
+    kept = written(kept, "strata")
+    used = out = None
+    for i, (name, k) in enumerate(sizes.items()):
+        free = kept.where(F.col("stratum") == name)
+        free = free if used is None else free.join(used, key, "left_anti")
+        part = free.withColumn("_r", F.row_number().over(W.partitionBy(form).orderBy(*order))).where(F.col("_r") <= caps[name])
+        part = part.orderBy(*order).limit(k).drop("_r").withColumn("_s", F.lit(i))
         # a stratum is small; written, it is not drawn again by the strata after it
-        part = written(part.withColumns({"stratum": F.lit(name), "_s": F.lit(i)}), "stratum")
+        part = written(part, "stratum")
         used = part.select(*key) if used is None else used.unionByName(part.select(*key))
         out = part if out is None else out.unionByName(part)
-    # at most the sum of all k rows are numbered here
-    return out.withColumn("place", F.row_number().over(W.orderBy("_s", "_h", *key)) - 1).drop("_s", "_h")
+    # at most the sum of all sizes is numbered here
+    return out.withColumn("place", F.row_number().over(W.orderBy("_s", *order)) - 1).drop("_s", "_h")
+
+
+#: Rows of each stratum of gold words, and phrases.
+STRATA = {"A_colloquial": 35, "B_polysemy": 25, "C_lowconf": 35, "D_codeswitch": 20, "E_control": 25}
+PHRASES = 20
 
 
-def word_strata(occurrences: DataFrame, spoken: DataFrame, ambiguous: DataFrame, sizes: tuple[int, ...] = (30, 20, 30, 20, 20)) -> list[tuple[str, DataFrame, int]]:
-    """The five pools of gold words; ``spoken`` and ``ambiguous`` are tables of forms."""
-    o = occurrences
-    low, sure = F.col("logprob") < -0.4, F.col("logprob") > -0.02
+def word_strata(occurrences: DataFrame, spoken: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """``occurrences`` with the strata each belongs to; ``spoken`` and ``ambiguous`` are tables of forms."""
+    forms = spoken.select("form", F.lit(True).alias("_spoken")).distinct().join(ambiguous.select("form", F.lit(True).alias("_ambiguous")).distinct(), "form", "full")
+    o = occurrences.join(forms, "form", "left")
     foreign = X.has_latin(F.col("word")) | X.has_cyrillic(F.col("word")) | X.has_digit(F.col("word"))
-    by_form = o.join(spoken.select("form").distinct(), "form", "left_semi")
-    colloquial = by_form.unionByName(o.where("coalesce(note, '') <> ''")).dropDuplicates(["video_id", "seg_index", "word_index"])
-    return [
-        ("A_colloquial", colloquial, sizes[0]),
-        ("B_polysemy", o.where(F.length("form") <= 4).join(ambiguous.select("form").distinct(), "form", "left_semi"), sizes[1]),
-        ("C_lowconf", o.where(low), sizes[2]),
-        ("D_codeswitch", o.where(foreign), sizes[3]),
-        ("E_control", o.where(sure), sizes[4]),
-    ]
+    rules = {
+        "A_colloquial": F.coalesce("_spoken", F.lit(False)) | (F.coalesce("note", F.lit("")) != ""),
+        "B_polysemy": F.coalesce("_ambiguous", F.lit(False)) & (F.length("form") <= 4),
+        "C_lowconf": F.col("logprob") < -0.4,
+        "D_codeswitch": foreign,
+        "E_control": F.col("logprob") > -0.02,
+    }
+    return o.withColumn("strata", F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))).drop("_spoken", "_ambiguous")
 
 
 def per_category(pool: DataFrame, key: list[str], category: str, video: str, k: int, cap: int, seed: str) -> DataFrame:

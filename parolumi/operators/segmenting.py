@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -60,12 +62,14 @@ def speaker_runs(words: DataFrame, stream: list[str], position: str) -> DataFram
 def cut_points(duration: float, silences: list[float], longest: float) -> list[float]:
     """Where to cut so that no piece is longer than ``longest``: at the latest silence
     that is in reach, else at the limit; positions are exact, results rounded to 3 digits."""
-    cuts, last, mids = [], 0.0, sorted(silences)
-    while duration - last > longest:
-        reach = [m for m in mids if last < m <= last + longest]
-        last = reach[-1] if reach else last + longest
-        cuts.append(round(last, 3))
-    return cuts
+    places = sorted(silences)
+    ends = [0.0]
+    while ends[-1] + longest < duration:
+        limit = ends[-1] + longest
+        # the latest silence up to the limit, if it lies behind the last cut
+        k = bisect_right(places, limit)
+        ends.append(places[k - 1] if k and places[k - 1] > ends[-1] else limit)
+    return [round(x, 3) for x in ends[1:]]
 
 
 def cuts(streams: DataFrame, key: str, duration: str, silences: str, longest: float) -> DataFrame:

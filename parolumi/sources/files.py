@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructType
@@ -43,24 +46,18 @@ def sidecars(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body"))
 
 
+_LEXEME = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<open>[\[{(])|(?P<close>[\]})])|(?P<set>=)""", re.DOTALL)
+
+
 def assigned(script: str | None) -> str | None:
     """The value of a script's last assignment: what follows the last '=' outside strings
     and brackets, without the closing semicolon; without one the text itself."""
     if script is None:
         return None
-    depth, quote, escaped, at = 0, "", False, -1
-    for i, ch in enumerate(script):
-        if quote:
-            escaped, quote = (not escaped and ch == "\\"), ("" if ch == quote and not escaped else quote)
-        elif ch in "\"'`":
-            quote = ch
-        elif ch in "[{(":
-            depth += 1
-        elif ch in "]})":
-            depth -= 1
-        elif ch == "=" and depth == 0:
-            at = i
-    return script[at + 1 :].strip().rstrip(";").strip()
+    lexemes = list(_LEXEME.finditer(script))
+    level = accumulate((x.lastgroup == "open") - (x.lastgroup == "close") for x in lexemes)
+    after = max((x.end() for x, deep in zip(lexemes, level) if x.lastgroup == "set" and not deep), default=0)
+    return re.sub(r"[\s;]+$", "", script[after:]).lstrip()
 
 
 @pandas_udf(StringType())

@@ -83,6 +83,27 @@ def stream_segments(tokens: DataFrame, gap: float = 0.8, idle: str = "10 minutes
     )
 
 
+#: A time behind all data, to which the end of a stream moves the watermark.
+END_OF_TIME = "9000-01-01 00:00:00"
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """``stream`` and, behind it, the rows of files that come to ``folder``, which is made."""
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def end_of_stream(stream: DataFrame, folder: str, key: str, time: str, name: object) -> None:
+    """Writes the row that ends ``stream`` (see ``with_end``): key ``name``, which no data have,
+    and a time behind all data, so that the watermark closes whatever is still open."""
+    spark = stream.sparkSession
+    kinds = dict(stream.dtypes)
+    cols = [F.lit(name).cast(t).alias(c) if c == key else F.lit(END_OF_TIME).cast(t).alias(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    spark.range(1).select(*cols).coalesce(1).write.mode("append").parquet(folder)
+
+
 def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there and ends."""
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()

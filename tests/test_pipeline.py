@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,13 +86,26 @@ def test_ladder_and_padding(spark):
 
 
 def test_samples_respect_caps(spark):
-    rows = [(f"v{i % 7}", i, 0, f"f{i % 3}") for i in range(200)]
-    df = spark.createDataFrame(rows, "video_id string, seg_index int, word_index int, form string")
-    got = S.stratified([("A", df, 16), ("B", df, 5)], ["video_id", "seg_index", "word_index"], "form", "s").collect()
-    assert len({(r.video_id, r.seg_index) for r in got}) == len(got)
+    rows = [(f"v{i % 7}", i, 0, f"f{i % 3}", ["A"] if i % 2 else ["A", "B"]) for i in range(200)]
+    df = spark.createDataFrame(rows, "video_id string, seg_index int, word_index int, form string, strata array<string>")
+    key = ["video_id", "seg_index", "word_index"]
+    got = S.stratified(df, {"A": 16, "B": 5}, key, "form", "s").collect()
+    assert len({(r.video_id, r.seg_index) for r in got}) == len(got) == 11
     for name, cap in (("A", 2), ("B", 2)):
         forms = [r.form for r in got if r.stratum == name]
         assert all(forms.count(f) <= cap for f in forms)
+    # the plain scan: in seeded order, what is not taken and below its cap
+    taken, want = set(), []
+    digest = lambda name, r: hashlib.md5(f"s{name}::{r[0]}::{r[1]}::{r[2]}".encode()).hexdigest()
+    for name, k in (("A", 16), ("B", 5)):
+        seen, n = Counter(), 0
+        for r in sorted((r for r in rows if name in r[4]), key=lambda r: (digest(name, r), r[:3])):
+            if r[:3] not in taken and seen[r[3]] < max(2, k // 8) and n < k:
+                seen[r[3]] += 1
+                n += 1
+                taken.add(r[:3])
+                want.append((name, *r[:3]))
+    assert [(r.stratum, r.video_id, r.seg_index, r.word_index) for r in sorted(got, key=lambda r: r.place)] == want
     assert [r.place for r in sorted(got, key=lambda r: r.place)] == list(range(len(got)))
     pool = spark.createDataFrame([(f"v{i % 9}", f"w{i}", "n", ["grammar", "other"][i % 2]) for i in range(90)], "video_id string, word string, note string, claim_type string")
     q = S.quota_sample(pool, ["video_id", "word", "note"], "claim_type", "video_id", {"grammar": 6, "other": 6}, 14, 2, "s").collect()

@@ -60,12 +60,22 @@ def test_distances_brute_force(spark):
     rng = random.Random(1)
     pairs = [([rng.choice("աbвg") for _ in range(rng.randint(0, 7))], [rng.choice("աbвg") for _ in range(rng.randint(0, 9))]) for _ in range(120)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
-    got = {r.i: (r.d, r.f) for r in df.select("i", D.token_distance(F.col("a"), F.col("b")).alias("d"), D.infix_distance("a", "b").alias("f")).collect()}
+    got = {r.i: (r.d, r.f) for r in df.select("i", D.token_distance(F.col("a"), F.col("b")).alias("d"), D.infix_edits(F.array_join("a", " "), F.array_join("b", " "))["words"].alias("f")).collect()}
     for i, (a, b) in enumerate(pairs):
         assert got[i] == (levenshtein(a, b), infix(a, b)), (a, b)
         assert got[i][1] <= got[i][0]
 
 
+def test_many_tokens(spark):
+    a = [f"t{i}" for i in range(40_000)]
+    df = spark.createDataFrame([(a[:30_000], a[1:30_000] + ["x"])], "a array<string>, b array<string>")
+    codes = df.select(F.size(F.array_distinct(F.concat("a", "b"))).alias("n"), F.decode(F.unhex(F.lpad(F.hex(F.lit(0xFFFF + 40_000)), 8, F.lit("0"))), "UTF-32").alias("c")).first()
+    assert codes.n == 30_001 and codes.c == chr(0xFFFF + 40_000)
+    pairs = [(["a"] * k, [chr(0x4E00 + i) for i in range(k)]) for k in (0, 1, 300)]
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select(D.token_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [0, 1, 300]
+
+
 def chrf_plain(hyp, ref):
     def f(h, r):
         if not h or not r:
