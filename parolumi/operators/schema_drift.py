@@ -25,6 +25,8 @@ _FIELDS = "run_dir string, run_no int, file_id bigint, fields array<struct<path:
 _CELLS = "run_dir string, run_no int, path string, bin string, n bigint"
 #: Up to so many changed runs are sent to all executors to select their files.
 BROADCAST_RUNS = 10_000
+#: Column and type of what has no column of its own.
+OTHERS = ("other_fields", "map<string,array<string>>")
 _NUMBER = re.compile(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 
@@ -192,35 +194,13 @@ class Drift:
         # only parents under which one path ends and another begins can hold a renamed one
         group = ["run_dir", "run_no", "parent"]
         mixed = ends.groupBy(*group).agg(F.countDistinct("change").alias("c")).where("c = 2").select(*group)
-        asked = written(ends.join(mixed, group).withColumn("at_run", F.when(F.col("change") == "added", F.col("run_no")).otherwise(F.col("before"))), "asked-fields")
+        asked = ends.join(mixed, group).withColumn("at_run", F.when(F.col("change") == "added", F.col("run_no")).otherwise(F.col("before")))
+        asked = written(asked.select(*group, "change", "path", "at_run", F.coalesce("place_now", "place_past").alias("place")), "asked-fields")
         runs = asked.groupBy("run_dir", F.col("at_run").alias("run_no")).agg(F.collect_set("path").alias("paths"))
         if runs.count() <= BROADCAST_RUNS:
             runs = F.broadcast(runs)
-        cells = value_cells(self.files.join(runs, ["run_dir", "run_no"])).withColumnRenamed("run_no", "at_run")
-        profiles = (
-            asked.join(cells, ["run_dir", "at_run", "path"], "left")
-            .groupBy(*group, "change", "path", F.coalesce("place_now", "place_past").alias("place"))
-            .agg(F.collect_list(F.struct("bin", "n")).alias("cells"))
-        )
-
-        def match(frame: pd.DataFrame) -> pd.DataFrame:
-            gone, come = frame[frame["change"] == "removed"], frame[frame["change"] == "added"]
-            table = {p: _histograms(c) for p, c in zip(frame["path"], frame["cells"])}
-            scored = sorted(
-                (-round(likeness(table[a], table[b]), 2), abs(pa - pb), a, b) for a, pa in zip(gone["path"], gone["place"]) for b, pb in zip(come["path"], come["place"])
-            )
-            pairs, used = [], set()
-            for s, _, a, b in scored:
-                least = least_numbers if "m" in table[a] and "m" in table[b] else least_likeness
-                if -s >= least and a not in used and b not in used:
-                    used |= {a, b}
-                    pairs.append((a, b))
-            rows = [(str(frame["run_dir"].iloc[0]), int(frame["run_no"].iloc[0]), a, b) for a, b in pairs]
-            return pd.DataFrame(rows, columns=["run_dir", "run_no", "old", "new"], dtype=object).astype({"run_no": "int32"})
-
-        # groups are few bytes and much work: they stay spread over as many tasks as shuffles have
-        tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        renamed = written(profiles.repartition(tasks, *group).groupBy(*group).applyInPandas(match, "run_dir string, run_no int, old string, new string"), "renamed-fields")
+        cells = written(value_cells(self.files.join(runs, ["run_dir", "run_no"])).withColumnRenamed("run_no", "at_run"), "value-cells")
+        renamed = written(matched(likenesses(asked.join(cells, ["run_dir", "at_run", "path"]), group), group, least_likeness, least_numbers), "renamed-fields")
         taken = renamed.select("run_dir", "run_no", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("old").alias("path")), F.struct(F.lit("added").alias("change"), F.col("new").alias("path")))).alias("t")).select("run_dir", "run_no", "t.*")
         plain = differing.join(taken, ["run_dir", "run_no", "change", "path"], "left_anti")
         return plain.select("run_dir", "run_no", "change", F.col("path").alias("field_path"), F.lit("").alias("new_path")).unionByName(
@@ -231,14 +211,15 @@ class Drift:
         """(column, type, paths) of the union of all files' fields.
 
         Renamed paths share a column, named after the path that most files hold. Types
-        are joined upwards: one of boolean and number stays, any two give string. The
-        number of distinct paths is checked against ``most_paths`` before they are
-        brought to the driver.
+        are joined upwards: one of boolean and number stays, any two give string. Of more
+        than ``most_paths`` distinct paths those that most files hold become columns; the
+        others, a column named OTHERS of type map in which every leaf is kept.
         """
         paths = self.fields.groupBy("path").agg(F.sum("files").alias("files"), F.collect_set("kind").alias("kinds"))
-        if paths.count() > most_paths:
-            raise ValueError(f"more than {most_paths} distinct field paths")
-        rows = {r.path: r for r in paths.collect()}
+        rows = {r.path: r for r in paths.orderBy(F.desc("files"), "path").limit(most_paths + 1).collect()}
+        beyond = len(rows) > most_paths
+        if beyond:
+            rows.popitem()
         root = {p: p for p in rows}
 
         def find(p: str) -> str:
@@ -246,7 +227,12 @@ class Drift:
                 p = root[p]
             return p
 
-        for r in changes.where("change = 'renamed'").select("field_path", "new_path").distinct().collect():
+        # of the renames only those between columns are brought here
+        spark = self.fields.sparkSession
+        columns = F.broadcast(spark.createDataFrame([(p,) for p in rows], "p string"))
+        renames = changes.where("change = 'renamed'").select("field_path", "new_path").distinct()
+        renames = renames.join(columns.withColumnRenamed("p", "field_path"), "field_path").join(columns.withColumnRenamed("p", "new_path"), "new_path")
+        for r in renames.orderBy("field_path", "new_path").collect():
             a, b = find(r.field_path), find(r.new_path)
             if a != b:
                 low, high = sorted((a, b), key=lambda p: (rows[p].files, p))
@@ -264,12 +250,18 @@ class Drift:
             used.add(name)
             members = sorted(groups[head], key=lambda p: (-rows[p].files, p))
             out.append((name, f"array<{kind}>" if any("[]" in p for p in members) else kind, members))
+        if beyond:
+            while OTHERS[0] in used:
+                out = [(name + "_" if name == OTHERS[0] else name, kind, members) for name, kind, members in out]
+                used.discard(OTHERS[0])
+            out.append((*OTHERS, []))
         return out
 
     def table(self, schema: list[tuple[str, str, list[str]]]) -> DataFrame:
         """One row per parsable file with the columns of ``schema``; a path inside an array gives
         an array with a place for each leaf in the file's order."""
         column_of = {p: (name, kind) for name, kind, paths in schema for p in paths}
+        rest = (*OTHERS, []) in schema
 
         def cast(kind: str, value):
             if value is None:
@@ -292,6 +284,8 @@ class Drift:
                     for path, _, value, _ in leaves(doc):
                         name, kind = column_of.get(path, (None, ""))
                         if name is None:
+                            if rest:
+                                row.setdefault(OTHERS[0], {}).setdefault(path, []).append(cast("string", value))
                             continue
                         if kind.startswith("array"):
                             row.setdefault(name, []).append(cast(kind, value))
@@ -306,48 +300,55 @@ class Drift:
         return kept.mapInPandas(run, columns)
 
 
-def _histograms(cells) -> dict[str, dict[str, float]]:
-    """Cells by the kind of histogram, as shares."""
-    out: dict[str, dict[str, float]] = {}
-    for c in cells if cells is not None else []:
-        if c["bin"]:
-            out.setdefault(c["bin"][0] if c["bin"][0] not in "if" else "w", {})[c["bin"]] = float(c["n"])
-    return {k: {b: n / sum(h.values()) for b, n in h.items()} for k, h in out.items()} | {"#": {k: sum(h.values()) for k, h in out.items()}}
-
-
-def likeness(a: dict, b: dict) -> float:
-    """How alike two fields' values are, from 0 to 1."""
-    strength = lambda h, k: h["#"].get(k, 0.0) / max(1e-9, h["#"].get("m", 0) + h["#"].get("v", 0) + h["#"].get("b", 0))
-    numbers = min(strength(a, "m"), strength(b, "m"))
-    strings = min(strength(a, "v"), strength(b, "v"))
-    truths = min(strength(a, "b"), strength(b, "b"))
-    number_like = _spread(a.get("m", {}), b.get("m", {})) * (1 - abs(a.get("w", {}).get("i", 0.0) - b.get("w", {}).get("i", 0.0)))
-    # one Latin word is no pattern: such strings have to share values
-    drop = lambda h: {c: x for c, x in h.get("s", {}).items() if c != "slati"}
-    sa, sb = drop(a), drop(b)
-    patterns = sum(min(x, sb.get(c, 0.0)) for c, x in sa.items())
-    oa = {c: x for c, x in a.get("o", {}).items() if c not in ("olatin", "omixed", "o9", "o")}
-    patterns = max(patterns, sum(min(x, b.get("o", {}).get(c, 0.0)) for c, x in oa.items()))
+def likenesses(cells: DataFrame, group: list[str]) -> DataFrame:
+    """How alike, from 0 to 1, the values of each ended and each begun field of a group are
+    that have a histogram cell in common: old, new, likeness, numeric, apart (places).
+
+    ``cells`` has the group, change, path, place, bin, n. Cells meet in a join, so neither the
+    values of a field nor the fields of a group are collected; a cell is one row, however often
+    its value occurs.
+    """
+    side = [*group, "change", "path", "place"]
+    many = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+    kinds = cells.withColumn("kind", F.substring("bin", 1, 1))
+    totals = kinds.groupBy(*side).agg(*[many(k).alias(f"n_{k}") for k in "mvbso"], many("i", "f").alias("n_w"), many("i").alias("n_i"))
+    totals = totals.withColumn("n_all", F.greatest(F.lit(1), F.col("n_m") + F.col("n_v") + F.col("n_b")))
+    of_kind = lambda c: F.coalesce(*[F.when(F.col("kind") == k, F.col(f"n_{k}")) for k in "mvbso"])
+    # magnitudes are smoothed to their neighbours; what says too little about a field is left out
+    size = F.regexp_extract("bin", r"^m[+-](-?\d+)$", 1)
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct(F.concat(F.substring("bin", 1, 2), (size.cast("int") + d).cast("string")).alias("bin"), F.when(d == 0, 0.5).otherwise(0.25).alias("part")))
+    alone = F.array(F.struct(F.col("bin").alias("bin"), F.lit(1.0).alias("part")))
+    plain = ["slati", "olatin", "omixed", "o9", "o"]
+    shares = (
+        kinds.where(~F.col("kind").isin("i", "f") & ~F.col("bin").isin(plain))
+        .join(totals, side)
+        .withColumn("c", F.explode(F.when(size != "", near).otherwise(alone)))
+        .groupBy(*side, "kind", F.col("c.bin").alias("bin"))
+        .agg((F.sum(F.col("n") * F.col("c.part") / of_kind("kind"))).alias("share"))
+    )
+    ended = lambda t, change, name, s: t.where(F.col("change") == change).drop("change").withColumnsRenamed({"path": name, "place": f"place_{s}"} | {c: f"{c}_{s}" for c in t.columns if c.startswith("n_") or c == "share"})
+    both = ended(shares, "removed", "old", "a").join(ended(shares, "added", "new", "b"), [*group, "kind", "bin"])
+    least = lambda *ks: F.sum(F.when(F.col("kind").isin(*ks), F.least("share_a", "share_b")).otherwise(0.0))
+    given = lambda s: F.sum(F.when(F.col("kind") == "v", F.col(f"share_{s}")).otherwise(0.0))
+    met = both.groupBy(*group, "old", "new").agg(least("m").alias("m"), least("s").alias("s"), least("o").alias("o"), F.least(given("a"), given("b")).alias("v"), F.count_if(F.col("kind") == "v").alias("shared"))
+    met = met.join(ended(totals, "removed", "old", "a"), [*group, "old"]).join(ended(totals, "added", "new", "b"), [*group, "new"])
+    part = lambda k: F.least(*[F.col(f"n_{k}_{s}") / F.col(f"n_all_{s}") for s in "ab"])
+    whole = lambda s: F.coalesce(F.try_divide(F.col(f"n_i_{s}").cast("double"), F.col(f"n_w_{s}")), F.lit(0.0))
     # of values from a small set a few files show some only: one in both is enough, more rank higher
-    shared = a.get("v", {}).keys() & b.get("v", {}).keys()
-    values = 0.5 + 0.5 * min(sum(h["v"][c] for c in shared) for h in (a, b)) if shared else 0.0
-    return numbers * number_like + strings * max(values, patterns) + truths
-
-
-def _spread(a: dict[str, float], b: dict[str, float]) -> float:
-    """Common share of two histograms of magnitudes, each smoothed to its neighbours."""
-
-    def smooth(h: dict[str, float]) -> dict[tuple, float]:
-        out: dict[tuple, float] = {}
-        for c, x in h.items():
-            sign, size = c[1], c[2:]
-            if not size.lstrip("-").isdigit():
-                out[(sign, size)] = x
-                continue
-            for step, part in ((-1, 0.25), (0, 0.5), (1, 0.25)):
-                k = (sign, int(size) + step)
-                out[k] = out.get(k, 0.0) + part * x
-        return out
+    values = F.when(F.col("shared") > 0, 0.5 + 0.5 * F.col("v")).otherwise(0.0)
+    score = part("m") * F.col("m") * (1 - F.abs(whole("a") - whole("b"))) + part("v") * F.greatest(values, "s", "o") + part("b")
+    return met.select(*group, "old", "new", F.round(score, 2).alias("likeness"), ((F.col("n_m_a") > 0) & (F.col("n_m_b") > 0)).alias("numeric"), F.abs(F.col("place_a") - F.col("place_b")).alias("apart"))
+
+
+def matched(pairs: DataFrame, group: list[str], least_likeness: float, least_numbers: float) -> DataFrame:
+    """(run_dir, run_no, old, new): in each group the likest pair first, each field once. A
+    group's fields are those of one JSON object, so its pairs that are alike enough are few."""
+    enough = pairs.where(F.col("likeness") >= F.when(F.col("numeric"), least_numbers).otherwise(least_likeness))
+    ranked = enough.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("likeness")).alias("rank"), "apart", "old", "new"))).alias("pairs"))
+    kept = F.array().cast("array<struct<old:string,new:string>>")
+
+    def take(acc, p):
+        free = ~F.exists(acc, lambda t: (t["old"] == p["old"]) | (t["new"] == p["new"]))
+        return F.when(free, F.concat(acc, F.array(F.struct(p["old"].alias("old"), p["new"].alias("new"))))).otherwise(acc)
 
-    x, y = smooth(a), smooth(b)
-    return sum(min(v, y.get(k, 0.0)) for k, v in x.items())
+    return ranked.select("run_dir", "run_no", F.explode(F.aggregate("pairs", kept, take)).alias("p")).select("run_dir", "run_no", "p.*")

@@ -1,6 +1,6 @@
 import json
 
-from parolumi.operators.schema_drift import Drift, leaves, likeness, outline, shape
+from parolumi.operators.schema_drift import Drift, leaves, likenesses, matched, outline, shape
 
 SCHEMA = "file_id bigint, run_dir string, run_no int, body string, path string, kind string, n int"
 
@@ -80,14 +80,37 @@ def test_table(spark):
     assert rows[200].duration == "3.5" and rows[200].ok == "1"
 
 
-def test_likeness_needs_like_values():
-    hist = lambda **k: {"#": {x: 1.0 for x in k}} | k
-    text = hist(v={"v1": 1.0}, s={"sarme+": 1.0}, o={"otext armenian": 1.0})
-    word = hist(v={"v2": 1.0}, s={"slati": 1.0}, o={"olatin": 1.0})
-    assert likeness(text, word) == 0 and likeness(text, text) == 1
+def test_likeness_needs_like_values(spark):
+    cells = {
+        "old": [("v1", 1), ("sarme+", 1), ("otext armenian", 1)],
+        "same": [("v1", 1), ("sarme+", 1), ("otext armenian", 1)],
+        "word": [("v2", 1), ("slati", 1), ("olatin", 1)],
+        "old_n": [("m+3", 2), ("m+4", 2), ("i", 4)],
+        "new_n": [("m+4", 4), ("i", 3), ("f", 1)],
+    }
+    rows = [("r", 2, "", "removed" if p.startswith("old") else "added", p, 0.5, b, n) for p, found in cells.items() for b, n in found]
+    df = spark.createDataFrame(rows, "run_dir string, run_no int, parent string, change string, path string, place double, bin string, n bigint")
+    got = {(r.old, r.new): (r.likeness, r.numeric) for r in likenesses(df, ["run_dir", "run_no", "parent"]).collect()}
+    # magnitudes: m+3 holds 3/8, m+4 3/8, m+2 and m+5 1/8 each on one side; 1/4, 1/2, 1/4 at m+3 to m+5 on the other
+    assert got == {("old", "same"): (1.0, False), ("old_n", "new_n"): (round((1 / 4 + 3 / 8 + 1 / 8) * 3 / 4, 2), True)}
     assert shape("speaker_0") == "lati _ 9" and shape("մի երկու երեք։") == "arme+ ։"
 
 
+def test_matching_takes_each_field_once(spark):
+    rows = [("r", 2, "", a, b, s, False, x) for a, b, s, x in [("a", "x", 0.9, 0.5), ("a", "y", 0.9, 0.1), ("b", "y", 0.8, 0.0), ("b", "x", 0.6, 0.0), ("c", "z", 0.3, 0.0)]]
+    df = spark.createDataFrame(rows, "run_dir string, run_no int, parent string, old string, new string, likeness double, numeric boolean, apart double")
+    assert sorted((r.old, r.new) for r in matched(df, ["run_dir", "run_no", "parent"], 0.5, 0.35).collect()) == [("a", "y"), ("b", "x")]
+
+
+def test_paths_without_a_column(spark):
+    df = files(spark, {1: [{"a": 1, "b": {"c": "x", "d": [True, None]}}, {"a": 2}]})
+    d = Drift(df)
+    schema = d.schema(d.changes(), most_paths=1)
+    rows = {r.file_id: r for r in d.table(schema).collect()}
+    assert [n for n, _, _ in schema] == ["a", "other_fields"] and rows[101].other_fields is None
+    assert rows[100].a == 1.0 and rows[100].other_fields == {"b.c": ["x"], "b.d[]": ["true", None]}
+
+
 def test_patterns_of_whole_values():
     start = "բառ " * 50
     assert shape(start + "12:30") != shape(start)
