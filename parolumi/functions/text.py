@@ -152,3 +152,15 @@ def digest_order(seed: str, *key: Column) -> Column:
 def draw(seed: str, *key: Column) -> Column:
     """A reproducible number in [0, 1)."""
     return F.conv(F.substring(digest_order(seed, *key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def clip_name(stem: Column) -> tuple[Column, Column]:
+    """Category and clip of a name 'category__clip', divided at the first '__'; nulls for others."""
+    part = lambda i: F.nullif(F.regexp_extract(stem, "^(.*?)__(.*)$", i), F.lit(""))
+    return part(1), part(2)
+
+
+def splat(left: dict[str, Column], right: dict[str, Column]) -> list[Column]:
+    """Columns of two records laid over each other: of a name in both, the right one's value
+    where there is one."""
+    return [(F.coalesce(right[name], left[name]) if name in left and name in right else (right.get(name) if name in right else left[name])).alias(name) for name in {**left, **right}]

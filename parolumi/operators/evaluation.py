@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parolumi.functions import stats
-from parolumi.operators import labels as L
+from parolumi.operators import asr as A, labels as L
 
 
 def accuracy(rows: DataFrame, by: str) -> DataFrame:
@@ -103,3 +103,15 @@ def reproduction(rows: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(~right, same)), 6).alias("fix_rate"),
         F.round(F.avg(F.when(right, same)), 6).alias("keep_rate"),
     )
+
+
+def sentence_ratings(rated: DataFrame) -> DataFrame:
+    """chrF++ of translations by rating and in all: ``rated`` has rating, hypothesis, reference.
+    A blank reference means that the translation was accepted as it is. Rows without a rating
+    are left out; identical counts translations equal to their reference."""
+    ref = F.coalesce(F.nullif(F.trim("reference"), F.lit("")), "hypothesis")
+    rows = rated.where(F.coalesce("rating", F.lit("")) != "").select("rating", F.coalesce("hypothesis", F.lit("")).alias("hyp"), F.coalesce(ref, F.lit("")).alias("ref"))
+    same = (F.trim("hyp") == F.trim("ref")).cast("int").alias("same")
+    scored = A.chrf(rows.select("rating", "hyp", "ref", same), F.col("hyp"), F.col("ref"), ["rating", "same"], digits=1)
+    out = stats.with_total(scored, "rating", [F.count("*").alias("n"), F.round(F.avg("chrf"), 1).alias("chrf_mean"), F.sum("same").alias("identical")])
+    return out.withColumn("share", F.round(F.col("n") / F.max("n").over(W.partitionBy()), 3))

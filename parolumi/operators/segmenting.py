@@ -20,13 +20,14 @@ def spoken_tokens(words: DataFrame) -> DataFrame:
     return words.where(kept & (F.trim(F.coalesce("text", F.lit(""))) != "")).withColumn("text", F.trim("text"))
 
 
-def segments(tokens: DataFrame, stream: list[str], position: str, gap: float = GAP) -> DataFrame:
+def segments(tokens: DataFrame, stream: list[str], position: str, gap: float = GAP, with_tokens: bool = False) -> DataFrame:
     """Sentence-like segments of token streams.
 
     ``tokens`` has the stream's columns, a position, text, start_s, end_s, speaker. A segment
     begins after a sentence-ending token, where the speaker changes (null is a speaker
     of its own) or after a silence of ``gap`` seconds or more; a silence with an unknown
-    edge has length 0. Columns: the stream's, segment (from 0), start_s, end_s, text, n_words.
+    edge has length 0. Columns: the stream's, segment (from 0), start_s, end_s, text, n_words,
+    with ``with_tokens`` tokens (array of text, start_s, end_s).
     """
     w = W.partitionBy(*stream).orderBy(position)
     before = lambda c: F.lag(c).over(w)
@@ -35,7 +36,7 @@ def segments(tokens: DataFrame, stream: list[str], position: str, gap: float = G
     breaks = F.when(first, 0).when(before("text").rlike(SENTENCE_END) | ~F.col("speaker").eqNullSafe(before("speaker")) | (F.round(silence, 6) >= gap), 1).otherwise(0)
     marked = tokens.withColumn("_b", breaks).withColumn("segment", F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0)))
     parts = marked.groupBy(*stream, "segment").agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "text", "start_s", "end_s"))).alias("t"))
-    return parts.select(*stream, F.col("segment").cast("bigint").alias("segment"), F.get("t", F.lit(0))["start_s"].alias("start_s"), F.element_at("t", -1)["end_s"].alias("end_s"), X.detokenized(F.transform("t", lambda x: x["text"])).alias("text"), F.size("t").alias("n_words"))
+    return parts.select(*stream, F.col("segment").cast("bigint").alias("segment"), F.get("t", F.lit(0))["start_s"].alias("start_s"), F.element_at("t", -1)["end_s"].alias("end_s"), X.detokenized(F.transform("t", lambda x: x["text"])).alias("text"), F.size("t").alias("n_words"), *([F.transform("t", lambda x: x.dropFields("p")).alias("tokens")] if with_tokens else []))
 
 
 def speaker_name(speaker: Column) -> Column:
