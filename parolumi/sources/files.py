@@ -24,6 +24,11 @@ def json_documents(spark: SparkSession, path: str, schema: StructType | str, opt
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON files with one object a line, keys of folders as columns."""
+    return spark.read.schema(schema).json(path)
+
+
 def transcript_tree(spark: SparkSession, root: str) -> DataFrame:
     """(model, variant, category, video_id, text) of <model>.<variant>/<category>/<id>.txt; model
     names may hold full stops, the variant is what follows the last one."""

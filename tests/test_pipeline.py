@@ -1,9 +1,11 @@
 import hashlib
+import json
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from parolumi.functions import text as X
 from parolumi.operators import labels as L, providers as P, sampling as S, segmenting as G
 from parolumi.sources import files, sinks
 from parolumi.streaming import sessions as SS
@@ -71,14 +73,70 @@ class Flaky:
 
 def test_calls_become_rows(spark):
     q = spark.createDataFrame([("t", "1", "good"), ("t", "2", "bad")], "task string, key string, prompt string")
-    got = {r.key: (r.value, r.error) for r in P.call(q, Flaky(), retries=2, pause=0.0).collect()}
+    got = {r.key: (r.value, r.error) for r in P.call(q, Flaky(), P.Retry(tries=2, pause=0.0)).collect()}
     assert got == {"1": ("GOOD", None), "2": (None, "no")}
     assert [p.name for p in P.healthy([P.Echo(), Flaky()], "bad")] == ["echo"]
 
 
+class Busy:
+    """Fails with the status in the prompt."""
+
+    name = "busy"
+
+    def __call__(self, prompt):
+        e = RuntimeError("status " + prompt)
+        e.status = int(prompt)
+        raise e
+
+
+def test_only_passing_failures_are_tried_again(spark):
+    q = spark.createDataFrame([("t", s, s) for s in ("400", "408", "429", "503")], "task string, key string, prompt string")
+    retry = P.Retry(tries=3, pause=0.0, doubling=True, statuses=P.passing_status)
+    assert {r.key: r.calls for r in P.call(q, Busy(), retry).collect()} == {"400": 1, "408": 3, "429": 3, "503": 3}
+    assert [P.HTTP_RETRY.wait(i) for i in range(3)] == [1.0, 2.0, 4.0] and [P.Retry().wait(i) for i in range(3)] == [1.5, 3.0, 4.5]
+
+
+def test_rescue_joins_pieces(spark):
+    done = spark.createDataFrame([("a", None, "ok"), ("b", "loop", ""), ("c", "empty", "")], "k string, reason string, text string")
+    pieces = spark.createDataFrame([("b", 2, "two"), ("b", 1, " one "), ("b", 3, None), ("a", 1, "no"), ("c", 1, " ")], "k string, i int, text string")
+    got = {r.k: (r.text, r.reason, r.rescued) for r in P.rescued(done, pieces, ["k"], ["i"], "reason", "text").collect()}
+    assert got == {"a": ("ok", None, False), "b": ("one two", None, True), "c": ("", "empty", False)}
+    tries = spark.createDataFrame([("a", 1, 1, "loop", "x"), ("a", 1, 2, None, "y"), ("a", 2, 1, None, "z")], "k string, rung int, n int, reason string, text string")
+    assert tuple(P.ladder(tries, ["k"], ["rung", "n"], "reason", "text").first()) == ("a", 1, 2, "y", None)
+
+
+def test_content_of_replies(spark):
+    say = lambda c: json.dumps({"choices": [{"message": {"content": c}}]}, ensure_ascii=False)
+    rows = [("s", say(" [բարև] ")), ("p", say([{"type": "text", "text": "a"}, {"type": "x"}, "loose", {"text": "b"}])), ("n", say(None)), ("e", "{}"), ("b", "{broken"), ("0", None)]
+    df = spark.createDataFrame(rows, "k string, j string")
+    assert {r.k: r.t for r in df.select("k", P.content_text(F.col("j")).alias("t")).collect()} == {"s": "[բարև]", "p": "ab", "n": "", "e": "", "b": None, "0": None}
+
+
+def test_names_and_records(spark):
+    df = spark.createDataFrame([("songs__a__b",), ("plain",), (None,)], "s string")
+    assert [tuple(r) for r in df.select(*[c.alias(n) for c, n in zip(X.clip_name(F.col("s")), "ab")]).collect()] == [("songs", "a__b"), (None, None), (None, None)]
+    one = spark.createDataFrame([(1, 2, None, 4)], "a int, b int, c int, d int")
+    assert one.select(*X.splat({"x": F.col("a"), "y": F.col("b")}, {"y": F.col("c"), "z": F.col("d")})).first().asDict() == {"x": 1, "y": 2, "z": 4}
+
+
+def test_times_sidecars_silences_and_cache(spark, tmp_path):
+    c = spark.createDataFrame([(1.0, None, 0.5)], "s double, e double, o double")
+    assert tuple(G.shifted(c, "s", "e", "o").select("s", "e").first()) == (1.5, None)
+    (tmp_path / "x.json").write_text('{"a": 1}')
+    assert files.sidecars(spark, str(tmp_path / "*.json")).first().body == '{"a": 1}'
+    log = spark.createDataFrame([("[x] silence_start: -0.5",), ("silence_end: 2.25 | silence_duration: 2.75",), ("frame=1",)], "value string")
+    assert [tuple(r) for r in files.silences(log).collect()] == [(-0.5, None), (None, 2.25)]
+    cache = str(tmp_path / "memo")
+    for v in ("one", "two"):
+        sinks.append_cache(spark.createDataFrame([("t", "m", v, v)], P.CACHE_SCHEMA), cache)
+    assert sorted(r.value for r in spark.read.parquet(cache).collect()) == ["one", "two"]
+    sinks.json_per_key(spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "k string, v int"), str(tmp_path / "by"), "k")
+    assert sorted((r.k, r.v) for r in files.json_lines(spark, str(tmp_path / "by"), "k string, v int").collect()) == [("a", 1), ("b", 2), ("b", 3)]
+
+
 def test_ladder_and_padding(spark):
     rows = [("c", 1, "loop", "x"), ("c", 2, None, "y"), ("d", 1, "loop", "z"), ("d", 2, "empty", "")]
-    got = {r.k: (r.rung, r.text, r.reason) for r in P.ladder(spark.createDataFrame(rows, "k string, rung int, reason string, text string"), ["k"], "rung", "reason", "text").collect()}
+    got = {r.k: (r.rung, r.text, r.reason) for r in P.ladder(spark.createDataFrame(rows, "k string, rung int, reason string, text string"), ["k"], ["rung"], "reason", "text").collect()}
     assert got == {"c": (2, "y", None), "d": (None, "", "empty")}
     df = spark.createDataFrame([(["a"], 3), (["a", "b", "c"], 2), (None, 1)], "g array<string>, n int")
     assert [r[0] for r in df.select(P.padded(F.col("g"), F.col("n"))).collect()] == [["a", "", ""], ["a", "b"], [""]]
