@@ -1,6 +1,6 @@
 import random
 
-from parolumi.llm import pairs as P, tails, truncation as R
+from parolumi.llm import pairs as P, prefixes, replies as Y, tails, truncation as R
 
 SUBJECTS, VERBS, PLACES = ["տատիկը", "հյուրը", "բժիշկը", "մեր ընկերը"], ["երգում է", "գրում է", "խոսում է"], ["բակում", "դպրոցում", "լճի մոտ"]
 
@@ -84,13 +84,20 @@ def test_defects(spark):
     ws = t.rstrip("։").lower().split()
     bad = [
         (seg(1, t, None), "explanation", "empty"), (seg(2, t, "(No output)"), "explanation", "empty"), (seg(3, t, "\u200b"), "explanation", "empty"), (seg(4, t, "Տատիկը երգում է բակում"), "explanation", "copied"),
-        (seg(5, t, "Sorry, I can't translate this passage."), "explanation", "refusal"), (seg(6, t, "К сожалению, я не могу перевести этот фрагмент."), "explanation", "refusal"), (seg(7, t, "Grandmother sings in the yard."), "explanation", "wrong_language"),
+        (seg(5, t, "Sorry, I can't translate this passage."), "explanation", "refusal"), (seg(6, t, "Нет, с таким отрывком я дела иметь не стану."), "explanation", "refusal"), (seg(7, t, "Grandmother sings in the yard."), "explanation", "wrong_language"),
         (seg(8, t, "Бабушка поёт во дв"), "explanation", "truncated"), (seg(9, t, "Бабушка поёт"), "explanation", "truncated"), (seg(10, t, "Бабушка поёт во дворе.", [None] * 4), "words", "empty"), (seg(11, t, "Бабушка поёт во дворе.", []), "words", "empty"),
-        (seg(12, t, "Бабушка поёт во дворе.", ws), "words", "copied"), (seg(13, t, "Бабушка поёт во дворе.", ["As an AI model, I cannot help with that request.", None, None, None]), "words", "refusal"),
+        (seg(12, t, "Бабушка поёт во дворе.", ws), "words", "copied"), (seg(13, t, "Бабушка поёт во дворе.", ["Sorry, I can't translate this passage.", None, None, None]), "words", "refusal"),
         (seg(14, t, "Бабушка поёт во дворе.", ["grandmother", "sings", "—", "yard"]), "words", "wrong_language"), (seg(15, t, "Бабушка поёт во дворе.", ["бабушка"], ws[:1]), "words", "truncated"),
     ]
     fine = [seg(50, t, "Бабушка поёт во дворе"), seg(51, t, "Бабушка поёт во дворе.", ["бабушка", None, "—", "во дворе"]), seg(52, "Ես չեմ կարող թարգմանել հատվածը։", "Я не могу перевести фрагмент.", ["я", "не", "могу", "перевести", "фрагмент"])]
-    rows = good + [b for b, *_ in bad] + fine + [bad[0][0]] + [(None, 1, t, None, None, None, "x")]
+    # the same two replies to texts that have no word in common; of longer ones most words are missing, too
+    for i in range(6):
+        other = f"ա{chr(0x561 + i)}բ գ{chr(0x561 + i)}դ ե{chr(0x561 + i)}զ։"
+        twice = f"{other} {other}"
+        bad.append((seg(400 + i, other, bad[4 + i % 2][0][3], ["раз", "два", "три"]), "explanation", "refusal"))
+        longer = seg(420 + i, twice, bad[5 - i % 2][0][3], ["раз", "два", "три", "четыре"], twice.split()[:4])
+        bad += [(longer, "explanation", "refusal"), (longer, "words", "truncated")]
+    rows = good + list({b[1]: b for b, *_ in bad}.values()) + fine + [bad[0][0]] + [(None, 1, t, None, None, None, "x")]
     got = {(r.seg_index, r.field_name, r.defect) for r in P.defects(spark.createDataFrame(rows, PSCHEMA), ["video_id", "seg_index"]).collect()}
     assert got == {(b[1], f, d) for b, f, d in bad}
 
@@ -110,3 +117,26 @@ def test_defects_of_odd_rows(spark):
     rows = [("v", 1, None, None, None, None, None), ("v", 2, "", "", [], [], ""), ("v", 3, "բառ " * 50_000, "слово " * 50_000 + ".", ["բառ"] * 50_000, ["слово"] * 50_000, "")]
     got = {(r.seg_index, r.field_name, r.defect) for r in P.defects(spark.createDataFrame(rows, PSCHEMA), ["video_id", "seg_index"]).collect()}
     assert got == {(1, "explanation", "empty"), (1, "words", "empty"), (2, "explanation", "empty"), (2, "words", "empty")}
+
+
+def test_replies_that_recur_over_unlike_sources(spark):
+    rows = []
+    for i in range(8):
+        own = [f"խոսք{chr(0x561 + i)}", f"բան{chr(0x561 + i)}", "է"]
+        rows += [("no such thing is done here", own, False), (f"the {'abcdefgh'[i]} walks home now", ["տուն", own[0]], False), ("he walks slowly to school", ["դպրոց", own[1]], False)]
+    rows += [(f"one {i} two {i} three", [f"ուրիշ{i}", "է"], False) for i in range(40)]
+    rows += [("a rare one here", ["մեկ"], False), ("мама моет раму", [], True)]
+    df = spark.createDataFrame(rows, "reply string, source array<string>, faithful boolean")
+    assert {r.reply for r in Y.independent(df).collect()} == {"no such thing is done here"}
+    assert {r.reply for r in Y.refusing(df).collect()} == {"no such thing is done here"}
+    assert Y.refusing(df.where("faithful")).count() == 0 and Y.refusing(df.limit(0)).count() == 0
+
+
+def test_shortened_values(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(500)] + ["", "ա" * 50_000, "ա" * 50_001]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:9]] + [(None,)], "value string")
+    want = {t for t in texts if t and any(x != t and x.startswith(t) for x in texts)}
+    got = prefixes.shortened(df).collect()
+    assert {r.value for r in got} == want and all(r.longer.startswith(r.value) and r.longer != r.value for r in got) and len(got) == len(want)
+    assert prefixes.shortened(df.limit(0)).count() == 0
