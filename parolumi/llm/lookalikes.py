@@ -1,12 +1,12 @@
 """Text that looks the same but is written with other characters.
 
 The words of all values form a vocabulary with counts.  Words with suspicious
-characters are looked up in tries of the clean words by an automaton for which
-look-alike letters and ignorable characters cost nothing; the most frequent clean
-word reached is the canonical spelling.  Words that reach none are put right by
-table.  The vocabulary is spread by a folded form under which all words at no
-cost from each other are equal, so each trie holds every word that its queries can
-reach, whatever the number of partitions.
+characters are looked up in tries of the clean words by a weighted edit automaton for
+which look-alike letters and ignorable characters cost nothing; the clean word
+reached at the least cost is the canonical spelling.  Words that reach none are put
+right by table.  The vocabulary is spread by a folded form under which all words at
+no cost from each other are equal, so a trie holds every word that its queries can
+reach, whatever the number of partitions, and only such words.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parolumi.session import written
+
 # Letters that look alike, one class a line; scripts Latin, Cyrillic, Greek, Armenian.
 LOOKALIKES = """
 aаα
@@ -165,75 +167,163 @@ def folded(word: str) -> str:
     return "".join(CLASS_OF.get(c, c) for c in flat)
 
 
+#: Costs of the automaton's steps; a word is reached below a cost of 1.
+FREE, STRANGE = 0.0, 0.6
+
+
+def strange_places(word: str) -> list[int]:
+    """Places inside ``word``, in which one script has most letters, of letters of another
+    script that the table has no look-alike for in it."""
+    scripts = [script(c) for c in word]
+    named = [s for s in scripts if s]
+    if len(set(named)) < 2:
+        return []
+    main = max(sorted(set(named)), key=named.count)
+    return [i for i, s in enumerate(scripts) if 0 < i < len(word) - 1 and s and s != main and not alike(word[i], main)]
+
+
 class Trie:
-    """Clean words with their counts; ``reach`` gives those at no cost from a word."""
+    """Clean words with their counts, and the weighted edit automaton over them."""
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.words = 0
 
     def add(self, word: str, count: int) -> None:
         node = self.root
         for c in word:
             node = node.setdefault(c, {})
         node[""] = (word, count)
-
-    def reach(self, word: str) -> list[tuple[str, int]]:
-        """Runs the automaton: a state is a node, ignorable characters leave it where it
-        is, a letter leads to the children that equal it or look like it."""
-        states = [self.root]
-        for c in word:
-            if unseen(c):
-                continue
-            for x in plain_form(c):
-                kin = CLASS_OF.get(x)
-                states = [child for node in states for y, child in node.items() if y and (y == x or (kin is not None and CLASS_OF.get(y) == kin and script(y) != script(x)))]
-                if not states:
-                    return []
-        return [node[""] for node in states if "" in node]
+        self.words += 1
+
+    def reach(self, word: str) -> list[tuple[float, str, int, tuple[str, ...]]]:
+        """(cost, word, count, kinds of steps) of every clean word reached below a cost of 1.
+
+        A state is a node with its cost and the kinds of steps that led to it. At no cost
+        an ignorable character is passed over, a letter leads to the child that equals it,
+        looks like it or is its plain form, and a letter with the mark behind it to the
+        letter composed of both. A letter of another script without look-alike leads, for
+        STRANGE, to any letter of the word's script. All other edits cost 1 and more, so
+        they are not followed.
+        """
+        strange = set(strange_places(word))
+        # at each place of the word: node (by identity) to the cheapest way there
+        ways: list[dict[int, tuple]] = [{} for _ in range(len(word) + 2)]
+        ways[0][id(self.root)] = (FREE, (), self.root)
+
+        def go(at: int, node: dict, cost: float, kinds: tuple, kind: str | None = None) -> None:
+            kinds = kinds if kind is None or kind in kinds else (*kinds, kind)
+            held = ways[at].get(id(node))
+            if cost < 1 and (held is None or (cost, len(kinds)) < (held[0], len(held[1]))):
+                ways[at][id(node)] = (cost, kinds, node)
+
+        for i, c in enumerate(word):
+            for cost, kinds, node in ways[i].values():
+                if unseen(c) and not needed(word, i):
+                    go(i + 1, node, cost, kinds, "invisible")
+                flat = plain_form(c)
+                for child, alike_too in _walk(node, flat):
+                    go(i + 1, child, cost, kinds, "look-alike" if alike_too else "form" if flat != c else None)
+                if i + 1 < len(word) and unicodedata.combining(word[i + 1]):
+                    one = unicodedata.normalize("NFC", flat + word[i + 1])
+                    if len(one) == 1:
+                        for child, alike_too in _walk(node, one):
+                            go(i + 2, child, cost, (*kinds, "look-alike") if alike_too else kinds, "combining")
+                if i in strange:
+                    for y, child in node.items():
+                        if y and script(y) and script(y) != script(c):
+                            go(i + 1, child, cost + STRANGE, kinds, "look-alike")
+        return [(cost, *node[""], kinds) for cost, kinds, node in ways[len(word)].values() if "" in node]
+
+
+def _walk(node: dict, letters: str) -> list[tuple[dict, bool]]:
+    """Nodes behind ``letters`` or their look-alikes, and whether a look-alike was taken."""
+    states = [(node, False)]
+    for x in letters:
+        kin = CLASS_OF.get(x)
+        states = [(child, took or y != x) for n, took in states for y, child in n.items() if y and (y == x or (kin is not None and CLASS_OF.get(y) == kin and script(y) != script(x)))]
+    return states
 
 
 def spell(trie: Trie, word: str) -> tuple[str, list[str], bool]:
-    """(canonical spelling, kinds of change, found in the trie) of a suspicious word."""
+    """(canonical spelling, kinds of change, found in the trie) of a suspicious word.
+
+    The automaton decides: the clean word reached at the least cost, of equally cheap ones
+    the most frequent. A word that reaches none is put right by table.
+    """
+    found = [(cost, -count, w, kinds) for cost, w, count, kinds in trie.reach(word) if w != word]
+    if found:
+        _, _, best, kinds = min(found)
+        return best, sorted(kinds), True
     flat, kinds = without_marks(word)
     fixed = by_table(flat)
     if fixed != flat:
         kinds = [*kinds, "look-alike"]
-    if not kinds:
-        return word, [], False
-    found = trie.reach(flat)
-    if found:
-        best = min(found, key=lambda x: (-x[1], x[0]))[0]
-        return best, kinds, True
-    return fixed, kinds, False
+    return (fixed, sorted(kinds), False) if kinds else (word, [], False)
+
+
+def keys_of(word: str) -> list[str]:
+    """The keys under which clean words reached by ``word`` stand: its folded form, and, where
+    it has a strange letter, that form with a gap (U+0000) in its place."""
+    places = strange_places(word)
+    return [folded(word), *(folded(word[:i]) + "\0" + folded(word[i + 1 :]) for i in places[:1] if len(places) == 1)]
 
 
-def canonical_words(values: DataFrame, value: str = "value") -> DataFrame:
-    """(word, canonical, kinds, in_vocabulary) of every word that has to change."""
+def canonical_words(values: DataFrame, value: str = "value", trie_words: int = 50_000) -> DataFrame:
+    """(word, canonical, kinds, in_vocabulary) of every word that has to change.
+
+    Of the clean words only those go into tries that share a key with a suspicious one
+    (a join); a task's tries are built one after the other, of whole keys and about
+    ``trie_words`` words each, so memory does not grow with the vocabulary.
+    """
     words = (
         values.select(F.explode(F.regexp_extract_all(F.col(value), F.lit(WORD), F.lit(1))).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
         .withColumn("odd", F.col("word").rlike(SUSPICIOUS))
     )
+    words = written(words, "vocabulary")
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(keys=[keys_of(w) for w in f["word"]])
+
+    def with_folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(key=[folded(w) for w in f["word"]])
 
     def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, odd = Trie(), []
+        trie, odd, last = Trie(), [], None
+
+        def answers() -> pd.DataFrame:
+            rows = [(w, *spell(trie, w)) for w in odd]
+            return pd.DataFrame([r for r in rows if r[2]], columns=["word", "canonical", "kinds", "in_vocabulary"])
+
         for f in frames:
-            for w, n, o in zip(f["word"], f["n"], f["odd"]):
+            for key, w, n, o in zip(f["key"], f["word"], f["n"], f["odd"]):
+                if key != last and trie.words + len(odd) >= trie_words:
+                    yield answers()
+                    trie, odd = Trie(), []
+                last = key
                 if o:
                     odd.append(w)
                 else:
                     trie.add(w, n)
-        rows = [(w, *spell(trie, w)) for w in odd]
-        yield pd.DataFrame([r for r in rows if r[2]], columns=["word", "canonical", "kinds", "in_vocabulary"])
-
-    # only words that share their folded form with a suspicious one can be reached
-    keyed = words.mapInPandas(fold, "word string, n bigint, odd boolean, key string")
-    return keyed.repartition("key").mapInPandas(look_up, "word string, canonical string, kinds array<string>, in_vocabulary boolean")
+        yield answers()
+
+    odd = words.where("odd").mapInPandas(with_keys, "word string, n bigint, odd boolean, keys array<string>").select("word", "n", "odd", F.explode("keys").alias("key"))
+    odd = written(odd, "odd-words")
+    clean = words.where("not odd").mapInPandas(with_folded, "word string, n bigint, odd boolean, key string")
+    asked = odd.select("key").distinct()
+    plain = clean.join(asked.where("not contains(key, char(0))"), "key", "left_semi")
+    # words that fit a gap: the gaps asked for, by length and place, are few
+    gaps = asked.where("contains(key, char(0))").select(F.length("key").alias("size"), F.expr("locate(char(0), key)").alias("at")).distinct()
+    gapped = clean.join(gaps, F.length("key") == F.col("size")).withColumn("key", F.expr("concat(substr(key, 1, at - 1), char(0), substr(key, at + 1))")).select("word", "n", "odd", "key").join(asked, "key", "left_semi")
+    met = odd.select("key", "word", "n", "odd").unionByName(plain.select("key", "word", "n", "odd")).unionByName(gapped.select("key", "word", "n", "odd"))
+    ordered = met.repartition("key").sortWithinPartitions("key")
+    said = ordered.mapInPandas(look_up, "word string, canonical string, kinds array<string>, in_vocabulary boolean")
+    # a word with a strange letter was looked up under two keys: what the trie says goes first
+    return said.groupBy("word").agg(F.max_by(F.struct("canonical", "kinds", "in_vocabulary"), F.struct("in_vocabulary", "canonical")).alias("s")).select("word", "s.*")
 
 
 def changed_values(values: DataFrame, key: list[str], value: str = "value") -> DataFrame:

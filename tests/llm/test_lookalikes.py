@@ -30,7 +30,7 @@ def test_trie():
     t = K.Trie()
     for w, n in (("նուն", 5), ("նուր", 1), ("noun", 9)):
         t.add(w, n)
-    assert [w for w, _ in t.reach("ն\u200bnւն")] == ["նուն"] and t.reach("նnւք") == []
+    assert t.reach("ն\u200bnւն") == [(0.0, "նուն", 5, ("invisible", "look-alike"))] and t.reach("նnւք") == []
     assert K.by_table("տnւն") == "տուն" and K.by_table("chat") == "chat" and K.by_table("сhat") == "chat"
     assert K.folded("տnւն") == K.folded("տուն") and K.folded("\uff11\uff12") == "12"
 
@@ -38,8 +38,26 @@ def test_trie():
 def test_zero_cost_paths():
     t = K.Trie()
     t.add("շոգ", 2)
-    assert [w for w, _ in t.reach("շnգ")] == ["շոգ"] and [w for w, _ in t.reach("շ\u200dոգ")] == ["շոգ"]
+    t.add("cafés", 1)
+    assert [w for _, w, _, _ in t.reach("շnգ")] == ["շոգ"] and [w for _, w, _, _ in t.reach("շ\u200dոգ")] == ["շոգ"]
     assert t.reach("շոք") == [] and t.reach("շո") == []
+    assert t.reach("\uff43afe\u0301s") == [(0.0, "cafés", 1, ("form", "combining"))]
+
+
+def test_the_trie_finds_what_no_table_lists(spark):
+    # ж looks like no Armenian letter of the table; one such letter inside a word is a step of the automaton
+    texts = ["մարդիկ գնում են"] * 2 + ["մաжդիկ գնում են", "իжի", "մաжժիկ"]
+    found = {r.value: r.normal for r in K.rewritten(K.changed_values(values(spark, texts), ["k"])).collect()}
+    assert found == {"մաжդիկ գնում են": "մարդիկ գնում են"}
+    assert K.changed_values(values(spark, texts[2:]), ["k"]).count() == 0
+    assert K.spell(K.Trie(), "մաжդիկ") == ("մաжդիկ", [], False)
+
+
+def test_small_tries(spark):
+    texts = ["քարտեզը տունը բակը"] * 3 + ["քարտեqը", "տnւնը բаկը", "ս\u200cոխ"]
+    want = {r.word: (r.canonical, r.in_vocabulary) for r in K.canonical_words(values(spark, texts)).collect()}
+    got = {r.word: (r.canonical, r.in_vocabulary) for r in K.canonical_words(values(spark, texts), trie_words=1).collect()}
+    assert got == want and want["տnւնը"] == ("տունը", True) and want["ս\u200cոխ"] == ("սոխ", False)
 
 
 def test_empty_and_long(spark):
