@@ -70,5 +70,5 @@ def spread(df: DataFrame) -> DataFrame:
     small file has; larger inputs are left as they lie. What is moved is thus bounded,
     whatever the data. For work in Python that costs far more than moving the rows."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
