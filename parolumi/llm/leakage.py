@@ -1,11 +1,11 @@
 """Evaluation texts leaking into training text, found with suffix arrays.
 
 The corpus is cut into shards (runs of whole documents inside a partition).
-Each shard gets a word-level suffix array; the first ``seed_words`` words of every
-suffix of every held-out item are binary-searched in it, which gives all places
-that share so many words in a row with the item.  Places on one diagonal (same shift between item and document) are
-then read again word by word, so that single replaced words inside a passage
-count as part of it.
+Each shard gets a word-level suffix array, in which every suffix of every held-out
+item is binary-searched as a whole: that gives the places that share ``seed_words``
+words in a row or more with it, and how many.  Matches on one diagonal (same shift
+between item and document) are then read again word by word, so that single replaced
+words inside a passage count as part of it.
 
 The array holds the suffixes that can answer a search: those that begin with
 ``seed_words`` words in a row which some item has too.  All others would never
@@ -122,7 +122,91 @@ def suffix_array(a: np.ndarray, at: np.ndarray, n: int, base: int, depth: int) -
     return order
 
 
-def search_shard(tokens: np.ndarray, index: ItemIndex, min_seeds: int) -> pd.DataFrame:
+class Matches:
+    """Where the suffixes of the items stand in a shard's suffix array.
+
+    Each whole item suffix is binary-searched, block of ``n`` words by block: ``lo`` and ``hi``
+    of level t bound the places that share its first (t + 1) * n words. The levels end
+    where no place shares more; what places share beyond the last block is compared word by word.
+    """
+
+    def __init__(self, tokens: np.ndarray, index: ItemIndex, here: np.ndarray):
+        self.tokens, self.index = tokens, index
+        n, base = index.seed, index.base
+        self.array = suffix_array(tokens, here, n, base, index.longest)
+        self.padded = np.concatenate([tokens, np.zeros(index.longest + 2 * n, np.int64)])
+        grams, _ = packed(self.padded, n, base)
+        of_items, whole = packed(np.concatenate([index.text, np.zeros(index.longest + 2 * n, np.int64)]), n, base)
+        lo = np.searchsorted(grams[self.array], index.gram, "left")
+        hi = np.searchsorted(grams[self.array], index.gram, "right")
+        self.suffix = np.flatnonzero(hi > lo)
+        self.levels = [(lo[self.suffix], hi[self.suffix])]
+        level = 0
+        while True:
+            level += 1
+            at = index.at[self.suffix] + level * n
+            lo, hi = self.levels[-1]
+            open_ = np.flatnonzero((hi > lo) & whole[at])
+            if not len(open_):
+                break
+            new_lo, new_hi = hi.copy(), hi.copy()
+            for side, into in (("left", new_lo), ("right", new_hi)):
+                into[open_] = self._bisect(grams, of_items[at[open_]], lo[open_], hi[open_], level * n, side)
+            self.levels.append((new_lo, new_hi))
+
+    def _bisect(self, grams: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, off: int, side: str) -> np.ndarray:
+        """``searchsorted`` of each key in its own range of the array, by the words from ``off`` on."""
+        lo, hi = lo.copy(), hi.copy()
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            value = grams[self.array[np.minimum(mid, len(self.array) - 1)] + off]
+            right = (lo < hi) & ((value < key) if side == "left" else (value <= key))
+            left = (lo < hi) & ~right
+            lo[right] = mid[right] + 1
+            hi[left] = mid[left]
+        return lo
+
+    def longest(self) -> np.ndarray:
+        """For each searched suffix the words of its longest match, in whole blocks."""
+        return sum((hi > lo).astype(np.int64) for lo, hi in self.levels) * self.index.seed
+
+    def runs(self, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, shift, seeds) of the matches that cannot be made longer to the left, about
+        ``block`` places at a time: seeds is the number of runs of ``n`` words in the match. A
+        match inside a longer one on the same diagonal is not reported again."""
+        index, n = self.index, self.index.seed
+        lo, hi = self.levels[0]
+        size = hi - lo
+        before = np.concatenate([[0], self.tokens])
+        before_items = np.concatenate([[0], index.text])
+        bounds = np.unique(np.concatenate([np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), block)), [len(size)]]))
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            many = size[begin:end]
+            which = np.repeat(np.arange(begin, end), many)
+            rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[begin:end], many)
+            place, start = self.array[rank], index.at[self.suffix[which]]
+            first = before_items[start] == 0
+            new = np.flatnonzero(first | (before[place] != before_items[start]))
+            which, rank, place, start = which[new], rank[new], place[new], start[new]
+            words = np.zeros(len(which), np.int64)
+            for a, b in self.levels:
+                words += n * ((rank >= a[which]) & (rank < b[which]))
+            for _ in range(n - 1):
+                x = index.text[np.minimum(start + words, len(index.text) - 1)]
+                words += (x > 0) & (x == self.padded[place + words])
+            item = index.item_of[self.suffix[which]]
+            yield item, place - (start - index.first[item]), words - n + 1
+
+
+def summed(pair: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different (item, shift), in order, with the sum of their seeds."""
+    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    pair, seeds = pair[order], seeds[order]
+    new = np.concatenate([[True], (pair[1:] != pair[:-1]).any(1)]) if len(pair) else np.zeros(0, bool)
+    return pair[new], np.add.reduceat(seeds, np.flatnonzero(new)) if len(pair) else seeds
+
+
+def search_shard(tokens: np.ndarray, index: ItemIndex, min_seeds: int, min_equal: float = 0.8) -> pd.DataFrame:
     """Every (position, item) of the shard with a passage, best passage first."""
     n, base = index.seed, index.base
     grams, whole = packed(tokens, n, base)
@@ -132,38 +216,19 @@ def search_shard(tokens: np.ndarray, index: ItemIndex, min_seeds: int) -> pd.Dat
     here = here[index.known[slot] == grams[here]]
     if not len(here):
         return pd.DataFrame()
-    array = suffix_array(tokens, here, n, base, index.longest)
-    keys = grams[array]
-    lo, hi = np.searchsorted(keys, index.gram, "left"), np.searchsorted(keys, index.gram, "right")
-    hit = np.flatnonzero(hi > lo)
-    found: list[np.ndarray] = []
-    # suffixes of the items in blocks, so that the places found at once stay few
-    size = (hi - lo)[hit]
-    cuts = np.searchsorted(np.cumsum(size), np.arange(4_000_000, int(size.sum()) + 4_000_000, 4_000_000))
-    begin = 0
-    for end in cuts + 1:
-        some = hit[begin:end]
-        begin = end
-        if not len(some):
-            continue
-        many = (hi - lo)[some]
-        which = np.repeat(some, many)
-        place = array[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[some], many)]
-        item = index.item_of[which]
-        shift = place - (index.at[which] - index.first[item])
-        found.append(np.stack([item, shift], 1))
-    pair = np.concatenate(found)
-    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-    new = np.concatenate([[True], (pair[1:] != pair[:-1]).any(1)])
-    seeds = np.diff(np.concatenate([np.flatnonzero(new), [len(pair)]]))
-    pair = pair[new]
+    pair, seeds = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    # diagonals are counted block by block, so what is held are different ones only
+    for item, shift, n_seeds in Matches(tokens, index, here).runs():
+        some, count = summed(np.stack([item, shift], 1), n_seeds)
+        pair, seeds = summed(np.concatenate([pair, some]), np.concatenate([seeds, count]))
     enough = seeds >= np.minimum(min_seeds, index.sure[pair[:, 0]])
-    return read_diagonals(tokens, index, pair[enough])
+    return read_diagonals(tokens, index, pair[enough], min_equal)
 
 
-def read_diagonals(tokens: np.ndarray, index: ItemIndex, pair: np.ndarray) -> pd.DataFrame:
+def read_diagonals(tokens: np.ndarray, index: ItemIndex, pair: np.ndarray, min_equal: float) -> pd.DataFrame:
     """Reads items against the shard along diagonals and keeps each one's longest
-    passage: equal words in order, where no two words in a row differ."""
+    passage: equal words in order, where no two words in a row differ and
+    ``min_equal`` of the words are equal."""
     out = []
     pad = index.longest + 1
     wide = np.concatenate([np.zeros(pad, np.int64), tokens, np.zeros(pad, np.int64)])
@@ -183,7 +248,7 @@ def read_diagonals(tokens: np.ndarray, index: ItemIndex, pair: np.ndarray) -> pd
             longest = np.maximum(longest, run)
             last[same] = k
             span = k - start + 1
-            better = same & (span > best)
+            better = same & (span > best) & (hits >= min_equal * span - 1e-9)
             best[better], best_start[better], best_hits[better] = span[better], start[better], hits[better]
         out.append(pd.DataFrame({"item": item, "at": shift + best_start, "from": best_start, "words": size, "span": best, "hits": best_hits, "longest": longest}))
     return pd.concat(out) if out else pd.DataFrame()
@@ -212,7 +277,8 @@ def leaks(
     ``seed_words`` words in a row must be equal ``min_seeds`` times for a place to
     be read (fewer, and fewer words, where a passage of an item may have fewer). Items are the query set: they are sent to the
     executors in blocks of at most ``block_words`` words (one item may exceed
-    it), each block against all documents. The corpus is never shuffled.
+    it), each block against all documents. The corpus is not shuffled, unless it is so small
+    that it is spread over all cores (``session.spread``).
 
     Null or blank texts, items without words and empty tables match nothing;
     rows with a null id are left out; repeated rows count once; columns other
@@ -253,10 +319,10 @@ def _searcher(index, min_share: float, min_equal: float, min_seeds: int, shard_w
         flat: list[int] = []
 
         def flush() -> pd.DataFrame:
-            found = search_shard(np.array(flat + [0] * own.seed, dtype=np.int64), own, min_seeds)
+            found = search_shard(np.array(flat + [0] * own.seed, dtype=np.int64), own, min_seeds, min_equal)
             if not len(found):
                 return found
-            found = found[(found["span"] >= min_share * found["words"]) & (found["hits"] >= min_equal * found["span"])]
+            found = found[found["span"] >= np.maximum(1, min_share * found["words"])]
             doc = np.searchsorted(starts, found["at"].to_numpy(), side="right") - 1
             return (
                 pd.DataFrame(
@@ -280,7 +346,8 @@ def _searcher(index, min_share: float, min_equal: float, min_seeds: int, shard_w
                 docs.append(doc)
                 starts.append(len(flat))
                 flat += [get(w, 0) for w in words_of(text)]
-                flat.append(0)
+                # two, so that no passage goes on in the next document
+                flat += [0, 0]
                 if len(flat) >= shard_words:
                     if len(found := flush()):
                         yield found
@@ -289,3 +356,8 @@ def _searcher(index, min_share: float, min_equal: float, min_seeds: int, shard_w
             yield found
 
     return search
+
+
+def without_leaks(corpus: DataFrame, found: DataFrame, corpus_id: str = "doc_id") -> DataFrame:
+    """``corpus`` without the documents of ``found`` (doc_id); rows with a null id stay."""
+    return corpus.join(found.select(F.col("doc_id").alias(corpus_id)).distinct(), corpus_id, "left_anti")

@@ -36,6 +36,12 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the documents that leaked items."""
+    docs = _table(spark, sf_dir, "documents")
+    return leakage.without_leaks(docs, p7_found(spark, sf_dir)).select("doc_id", "source", "n_chars")
+
+
 def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with text and whether it was cut."""
     return truncation.truncated(_table(spark, sf_dir, "asr_chunks"), ["chunk_id"], "model", "text")
@@ -141,8 +147,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_unused": p6_unused,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_clean": p7_clean,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
 }
 
-ORACLES: dict[str, str] = {}
+_TOKENS = "regexp_extract_all(regexp_replace(lower(text), '[՚-՞\\x{00ad}\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{0300}-\\x{036f}]', '', 'g'), '[\\p{L}\\p{N}]+')"
+#: Brute force over all diagonals with three equal words in a row, which every passage of items of 25 words and more has.
+_LEAKED = f"""with i as (select distinct item_id, {_TOKENS} as w from eval_items where item_id is not null and text is not null), d as (select distinct doc_id, {_TOKENS} as w from documents where doc_id is not null and text is not null),
+ ig as (select item_id, unnest(range(1, len(w) - 1)) as k, w from i), dg as (select doc_id, unnest(range(1, len(w) - 1)) as k, w from d),
+ it as (select item_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] as g from ig), dt as (select doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] as g from dg),
+ di as (select distinct doc_id, item_id, dt.k - it.k as shift from it join dt using (g)),
+ e as (select doc_id, item_id, shift, len(i.w) as n, unnest(list_filter(range(1, len(i.w) + 1), lambda k: k + shift between 1 and len(d.w) and i.w[k] = d.w[k + shift])) as k from di join i using (item_id) join d using (doc_id)),
+ s as (select *, case when k - lag(k) over p <= 2 then 0 else 1 end as new from e window p as (partition by doc_id, item_id, shift order by k)),
+ r as (select *, sum(new) over (partition by doc_id, item_id, shift order by k) as run from s),
+ h as (select *, row_number() over (partition by doc_id, item_id, shift, run order by k) as hits, k - min(k) over (partition by doc_id, item_id, shift, run) + 1 as span from r),
+ found as (select distinct doc_id, item_id from h where span >= 0.5 * n and hits >= 0.8 * span - 1e-9)"""
+
+ORACLES: dict[str, str] = {
+    "p7_found": f"{_LEAKED} select doc_id, item_id from found",
+    "p7_clean": f"{_LEAKED} select doc_id, source, n_chars from documents where doc_id is null or doc_id not in (select doc_id from found)",
+}
