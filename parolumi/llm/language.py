@@ -159,6 +159,16 @@ class Model:
         self.weights, self.bias, self.slope = weights.astype(np.float32), bias, slope
         self.forget()
 
+    #: Whether the last column is no language's but a further machine's (``with_machine``).
+    further = False
+
+    def with_machine(self, weights: np.ndarray, bias: float) -> "Model":
+        """This model with one machine more over the same features, whose score of each sentence
+        ``Sentences.further`` gives."""
+        more = Model(self.families, self.members, self.pairs, np.column_stack([self.weights, weights]), np.append(self.bias, bias), self.slope)
+        more.further = True
+        return more
+
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.rows = np.zeros((1024, self.weights.shape[1]), np.float32)
@@ -337,9 +347,12 @@ class Sentences:
         self.commas = np.array(commas, dtype=np.int64)[self.owner] if len(at) else at
         if len(at):
             self.letters = np.add.reduceat(np.array(size, dtype=np.int64), at)
-            self.lang, self.sure = model.decide(np.add.reduceat(m, at, axis=0) / self.words[:, None])
+            means = np.add.reduceat(m, at, axis=0) / self.words[:, None]
+            self.lang, self.sure = model.decide(means)
         else:
+            means = np.zeros((0, len(model.bias)))
             self.letters, self.lang, self.sure = at, np.zeros(0, object), np.zeros(0)
+        self.further = means[:, -1] + model.bias[-1] if model.further else np.zeros(len(means))
 
     @staticmethod
     def _changes(model: Model, m: np.ndarray, least: int = 3, price: float = 3.0) -> list[int]:

@@ -3,7 +3,8 @@
 A linear ranker is learnt from pairs of graded documents (the more demanding one
 has to score higher); isotonic regression turns its scores into the graders' scale.
 Vocabulary features are relative to the language's own words: the mean word length
-of a sentence is divided by that of its language over all documents.
+of a sentence is divided by that of its language over all documents. Which words
+demanding documents use, a linear machine learns from the graded ones' sentences.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from parolumi.llm.language import Model, Sentences, in_slices
+from parolumi.llm.language import Bags, Model, Sentences, fit_svm, in_slices, sentences_of, words_of
 from parolumi.session import bounded_sample, spread, written
 
 #: Features of a document, in order.
-FEATURES = ["word_length", "long_share", "long_sentences", "mostly_long", "log_sentence", "beyond_twelve", "commas"]
+FEATURES = ["word_length", "long_share", "long_sentences", "demanding_share", "demanding_sentences", "both_share", "mostly_both", "single", "log_sentence", "beyond_twelve", "commas"]
 
-_STATS = "doc_id bigint, lang array<string>, words array<int>, letters array<int>, commas array<int>, piece array<boolean>"
+_STATS = "doc_id bigint, lang array<string>, words array<int>, letters array<int>, commas array<int>, piece array<boolean>, demand array<boolean>"
 
 
 def sentence_stats(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,6 +43,7 @@ def sentence_stats(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
                         "letters": cut(got.letters.astype("int32")),
                         "commas": cut(got.commas.astype("int32")),
                         "piece": cut(got.piece),
+                        "demand": cut(got.further > 0),
                     }
                 )
 
@@ -62,13 +64,15 @@ def features(stats: DataFrame, base: dict[str, float], long_excess: float = 0.8,
     A sentence has long words if their mean length exceeds the language's by
     ``long_excess`` divided by the root of its number of words: means of few words vary
     more. long_share and long_sentences are the shares of words and of sentences in such
-    sentences; mostly_long is 1 from a share of ``mostly`` of the sentences on. log_sentence
+    sentences, demanding_share and demanding_sentences in those with a demanding vocabulary,
+    both_share in those with both; mostly_both is 1 from a share of ``mostly`` of the sentences
+    on; single is 1 for a text of one sentence. log_sentence
     (logarithm of the words in a sentence),
     beyond_twelve (what it has beyond twelve words) and commas (per word) are null
     where most of a text has no sentence marks.
     """
     table = F.create_map(*[F.lit(x) for k, v in sorted(base.items()) for x in (k, float(v))]) if base else F.create_map().cast("map<string,double>")
-    s = F.arrays_zip("lang", "words", "letters", "commas", "piece")
+    s = F.arrays_zip("lang", "words", "letters", "commas", "piece", "demand")
     rel = F.transform(
         s,
         lambda x: F.struct(
@@ -76,10 +80,11 @@ def features(stats: DataFrame, base: dict[str, float], long_excess: float = 0.8,
             (x["letters"] / x["words"] / table[x["lang"]]).alias("ratio"),
             F.when(x["piece"], 0).otherwise(x["words"]).alias("whole"),
             F.when(x["piece"], 0).otherwise(x["commas"]).alias("commas"),
+            x["demand"].alias("demand"),
         ),
     )
     d = stats.where(F.size("words") > 0).withColumn("s", rel)
-    sums = ["n", "whole", "sentences", "marks", "length", "long_words", "long_parts"]
+    sums = ["n", "whole", "sentences", "marks", "length", "long_words", "long_parts", "hard_words", "hard_parts", "both_words", "both_parts"]
     zero = F.struct(*[F.lit(0.0).alias(c) for c in sums])
 
     def step(acc: Column, x: Column) -> Column:
@@ -92,6 +97,10 @@ def features(stats: DataFrame, base: dict[str, float], long_excess: float = 0.8,
             "length": x["words"] * x["ratio"],
             "long_words": F.when(long, x["words"].cast("double")).otherwise(0.0),
             "long_parts": F.when(long, 1.0).otherwise(0.0),
+            "hard_words": F.when(x["demand"], x["words"].cast("double")).otherwise(0.0),
+            "hard_parts": F.when(x["demand"], 1.0).otherwise(0.0),
+            "both_words": F.when(long & x["demand"], x["words"].cast("double")).otherwise(0.0),
+            "both_parts": F.when(long & x["demand"], 1.0).otherwise(0.0),
         }
         return F.struct(*[(acc[c] + more[c]).alias(c) for c in sums])
 
@@ -103,7 +112,11 @@ def features(stats: DataFrame, base: dict[str, float], long_excess: float = 0.8,
         (F.col("length") / F.col("n")).alias("word_length"),
         (F.col("long_words") / F.col("n")).alias("long_share"),
         (F.col("long_parts") / F.col("parts")).alias("long_sentences"),
-        F.when(F.col("long_parts") >= F.col("parts") * mostly, 1.0).otherwise(0.0).alias("mostly_long"),
+        (F.col("hard_words") / F.col("n")).alias("demanding_share"),
+        (F.col("hard_parts") / F.col("parts")).alias("demanding_sentences"),
+        (F.col("both_words") / F.col("n")).alias("both_share"),
+        F.when(F.col("both_parts") >= F.col("parts") * mostly, 1.0).otherwise(0.0).alias("mostly_both"),
+        F.when(F.col("parts") == 1, 1.0).otherwise(0.0).alias("single"),
         log_sentence.alias("log_sentence"),
         F.greatest(F.lit(0.0), log_sentence - F.log(F.lit(12.0))).alias("beyond_twelve"),
         F.when(marked, F.col("marks") / F.greatest(F.lit(1.0), F.col("whole"))).alias("commas"),
@@ -145,6 +158,7 @@ class Ranker:
                 v = w2 + (t - 1) / (t + 2) * (w2 - w)
                 w = w2
         self.w = w
+        self.graded = len(y)
         self.levels = sorted(set(y.tolist())) or [1]
         self.knots, self.values = self._isotonic(z @ w, y.astype(float)) if len(y) else (np.zeros(1), np.array([1.0]))
 
@@ -200,6 +214,40 @@ class Ranker:
         return out
 
 
+def demanding_vocabulary(docs: DataFrame, labels: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 4000, max_sentences: int = 12_000, longest: int = 50_000, rounds: int = 2) -> Model:
+    """``model`` with a machine that tells sentences of the highest level from those of the lowest.
+
+    Fitted on the driver, on the sentences of at most ``sample_docs`` graded documents of
+    these levels (lowest hash of id) of ``longest`` characters at most, of which
+    ``max_sentences`` at most are taken at even steps. Demanding documents have plain
+    sentences, too: those that the machine takes for plain are left out and it is fitted again.
+    """
+    graded = majority(labels)
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where(F.length("t") <= longest).dropDuplicates(["doc_id"])
+    ends = graded.agg(F.min("level").alias("low"), F.max("level").alias("high"))
+    rows = graded.crossJoin(F.broadcast(ends)).where("low < high and (level = low or level = high)").select("doc_id", (F.col("level") == F.col("high")).alias("high"))
+    rows = sorted(bounded_sample(rows, "doc_id", sample_docs).join(texts, "doc_id").collect())
+    bags, high = [], []
+    for r in rows:
+        for s in sentences_of(r.t):
+            if words := words_of(s):
+                bags.append(words)
+                high.append(r.high)
+    step = max(1, -(-len(bags) // max_sentences))
+    bags, y = bags[::step], np.where(np.array(high[::step], dtype=bool), 1.0, -1.0)
+    if not (y > 0).any() or not (y < 0).any():
+        return model.with_machine(np.zeros(len(model.weights)), -1.0)
+    cache: dict[str, np.ndarray] = {}
+    every, kept = Bags(bags, cache), np.arange(len(bags))
+    for n in range(rounds + 1):
+        w, b = fit_svm(Bags([bags[i] for i in kept], cache), y[kept], np.ones(len(kept)))
+        fitting = np.flatnonzero((y < 0) | (every.score(w) + b > 0))
+        if not (y[fitting] > 0).any():
+            break
+        kept = fitting
+    return model.with_machine(w, b)
+
+
 def train_ranker(feats: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Ranker:
     """Fits on the driver, on at most ``sample_docs`` graded documents (lowest hash of id)."""
     graded = bounded_sample(majority(labels).where("doc_id is not null"), "doc_id", sample_docs)
@@ -213,12 +261,15 @@ def reading_levels(docs: DataFrame, labels: DataFrame, model: Model, doc_id: str
 
     Null, empty and wordless texts have no reading level: they get null score and
     level. Rows with a null id are left out; repeated rows give repeated rows. Without
-    usable labels every document gets the lowest level. Extra columns are ignored.
+    usable labels no document has a score or a level. Extra columns are ignored.
     """
+    model = demanding_vocabulary(docs, labels, model, doc_id, text)
     stats = written(sentence_stats(docs, model, doc_id, text), "sentence-stats")
     feats = written(features(stats, baselines(stats)), "reading-features")
     ranker = train_ranker(feats, labels)
     scored = feats.withColumn("score", ranker.score())
     scored = scored.withColumn("level", ranker.level(F.col("score")).cast("int"))
+    if not ranker.graded:
+        scored = scored.withColumns({"score": F.lit(None).cast("double"), "level": F.lit(None).cast("int")})
     none = stats.where(F.size("words") <= 0).select("doc_id")
     return scored.select("doc_id", "score", "level", *FEATURES).unionByName(none, allowMissingColumns=True)

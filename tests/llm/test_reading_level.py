@@ -45,10 +45,23 @@ def test_levels(spark):
     model = L.train(docs)
     got = {r.doc_id: r.level for r in R.reading_levels(docs, lab, model).collect()}
     assert all(got[i] == 1 + i % 3 for i in range(120)) and got[900] is got[901] is got[902] is None and got[903] in (1, 2) and len(got) == 124
-    assert {r.level for r in R.reading_levels(docs, lab.where("false"), model).where("level is not null").collect()} == {1}
+    assert {r.level for r in R.reading_levels(docs, lab.where("false"), model).collect()} == {None}
     assert R.reading_levels(docs.where("false"), lab, model).count() == 0
 
 
+def test_demanding_vocabulary(spark):
+    rng = random.Random(4)
+    text = lambda words, n: ". ".join(" ".join(rng.choice(words) for _ in range(8)) for _ in range(n)) + ". "
+    rows = [(i, text(HARD, 3) + text(EASY, 3) if i % 2 else text(EASY, 6)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, "a", 3 if i % 2 else 1) for i in range(60)], "doc_id bigint, rater string, level int")
+    model = R.demanding_vocabulary(docs, lab, L.fit([EASY], ["en"]))
+    got = L.Sentences(model, [". ".join([" ".join(HARD), " ".join(EASY)]) + "."])
+    assert (got.further > 0).tolist() == [True, False]
+    none = R.demanding_vocabulary(docs, lab.where("level = 1"), L.fit([EASY], ["en"]))
+    assert (L.Sentences(none, ["we go."]).further > 0).tolist() == [False]
+
+
 def test_stats_count_words():
     model = L.fit([["we", "go"]], ["en"])
     s = L.Sentences(model, ["We go, home. See!\nmy old cat", None, "", "one " * 100])
