@@ -223,10 +223,11 @@ def demanding_vocabulary(docs: DataFrame, labels: DataFrame, model: Model, doc_i
     sentences, too: those that the machine takes for plain are left out and it is fitted again.
     """
     graded = majority(labels)
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where(F.length("t") <= longest).dropDuplicates(["doc_id"])
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where(F.length("t") <= longest)
     ends = graded.agg(F.min("level").alias("low"), F.max("level").alias("high"))
     rows = graded.crossJoin(F.broadcast(ends)).where("low < high and (level = low or level = high)").select("doc_id", (F.col("level") == F.col("high")).alias("high"))
-    rows = sorted(bounded_sample(rows, "doc_id", sample_docs).join(texts, "doc_id").collect())
+    # at most ``sample_docs`` ids are sent to the texts
+    rows = sorted(texts.join(F.broadcast(bounded_sample(rows, "doc_id", sample_docs)), "doc_id").dropDuplicates(["doc_id"]).collect())
     bags, high = [], []
     for r in rows:
         for s in sentences_of(r.t):
