@@ -180,7 +180,7 @@ def defects(segments: DataFrame, key: list[str], least_covered: float = 0.7, ful
     """
     own = segments.dropna(subset=key)
     counts = tails.window_counts(own, "explanation")
-    rows = written(judged(own, key).dropDuplicates([*key, "on_explanation", "on_words", "state", "key2", "covered", "reply"]), "judged-pairs")
+    rows = written(judged(own, key), "judged-pairs")
     by_reply = rows.select("reply", "source", "faithful").where("reply is not null")
     by_gloss = rows.select(F.explode("long_glosses").alias("g")).select("g.reply", F.array("g.word").alias("source"), F.lit(False).alias("faithful"))
     refusing = replies.refusing(by_reply.unionByName(by_gloss)).select(F.xxhash64("reply").alias("reply_hash"), F.lit(True).alias("refuses"))

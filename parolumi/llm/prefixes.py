@@ -29,6 +29,8 @@ def shortened(values: DataFrame, value: str = "value") -> DataFrame:
             for part, v in zip(f["part"], f["value"]):
                 if last is None:
                     rows.append((part, 0, v, None))
+                elif v == last:
+                    continue
                 elif v.startswith(last):
                     rows.append((part, -1, last, v))
                 last, place = v, part
@@ -36,7 +38,12 @@ def shortened(values: DataFrame, value: str = "value") -> DataFrame:
         if last is not None:
             yield pd.DataFrame([(place, 1, last, None)], columns=["part", "edge", "value", "longer"])
 
-    kept = values.select(F.col(value).alias("value")).where("value is not null and value <> ''").distinct()
+    def once(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a value that many rows have is sent once from each batch
+        for f in frames:
+            yield f.drop_duplicates()
+
+    kept = values.select(F.col(value).alias("value")).where("value is not null and value <> ''").mapInPandas(once, "value string")
     ordered = kept.repartitionByRange(ranges, "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
     found = written(ordered.mapInPandas(run, "part int, edge int, value string, longer string"), "neighbours")
     inner = found.where("edge = -1").select("value", "longer")

@@ -88,7 +88,14 @@ def learnt(replies: DataFrame, told: DataFrame, most_examples: int = 3_000, step
     is still told by ``independent`` if it recurs.
     """
     kinds = [told, replies.where("not faithful").join(told, "reply", "left_anti"), replies.where("faithful")]
-    some = [sorted((r.reply, r.n) for r in k.groupBy("reply").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.xxhash64("reply"), "reply").limit(most_examples).collect()) for k in kinds]
+
+    def few(kind: DataFrame) -> list[tuple[str, int]]:
+        # counted by hash; the texts of the few that are left are looked up
+        hashed = kind.select("reply", F.xxhash64("reply").alias("h"))
+        top = hashed.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(most_examples)
+        return sorted((r.reply, r.n) for r in hashed.join(F.broadcast(top), "h").groupBy("h").agg(F.first("reply").alias("reply"), F.first("n").alias("n")).collect())
+
+    some = [few(k) for k in kinds]
     if not some[0]:
         return Refusals()
     y = np.repeat([1.0, -1.0, -1.0], [len(k) for k in some])
@@ -117,5 +124,5 @@ def refusing(replies: DataFrame) -> DataFrame:
             yield f[[own(t) for t in f["reply"]]]
 
     by_machine = replies.where("not faithful").select("reply").distinct().mapInPandas(run, "reply string")
-    faithful = replies.where("faithful").select("reply")
-    return told.unionByName(by_machine).distinct().join(faithful, "reply", "left_anti")
+    faithful = replies.where("faithful").select(F.xxhash64("reply").alias("h")).distinct()
+    return told.unionByName(by_machine).distinct().withColumn("h", F.xxhash64("reply")).join(faithful, "h", "left_anti").select("reply")
