@@ -309,29 +309,31 @@ def likenesses(cells: DataFrame, group: list[str]) -> DataFrame:
     its value occurs.
     """
     side = [*group, "change", "path", "place"]
-    many = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
     kinds = cells.withColumn("kind", F.substring("bin", 1, 1))
-    totals = kinds.groupBy(*side).agg(*[many(k).alias(f"n_{k}") for k in "mvbso"], many("i", "f").alias("n_w"), many("i").alias("n_i"))
-    totals = totals.withColumn("n_all", F.greatest(F.lit(1), F.col("n_m") + F.col("n_v") + F.col("n_b")))
-    of_kind = lambda c: F.coalesce(*[F.when(F.col("kind") == k, F.col(f"n_{k}")) for k in "mvbso"])
+    own = W.partitionBy(*side)
+    many = lambda *k: F.sum(F.when(F.col("kind").isin(*k), F.col("n")).otherwise(0)).over(own)
+    totals = {f"n_{k}": many(k) for k in "mvbsoi"} | {"n_w": many("i", "f")}
+    of_kind = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"n_{k}")) for k in "mvbso"])
     # magnitudes are smoothed to their neighbours; what says too little about a field is left out
     size = F.regexp_extract("bin", r"^m[+-](-?\d+)$", 1)
     near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct(F.concat(F.substring("bin", 1, 2), (size.cast("int") + d).cast("string")).alias("bin"), F.when(d == 0, 0.5).otherwise(0.25).alias("part")))
     alone = F.array(F.struct(F.col("bin").alias("bin"), F.lit(1.0).alias("part")))
     plain = ["slati", "olatin", "omixed", "o9", "o"]
     shares = (
-        kinds.where(~F.col("kind").isin("i", "f") & ~F.col("bin").isin(plain))
-        .join(totals, side)
+        kinds.withColumns(totals)
+        .where(~F.col("kind").isin("i", "f") & ~F.col("bin").isin(plain))
         .withColumn("c", F.explode(F.when(size != "", near).otherwise(alone)))
-        .groupBy(*side, "kind", F.col("c.bin").alias("bin"))
-        .agg((F.sum(F.col("n") * F.col("c.part") / of_kind("kind"))).alias("share"))
+        .groupBy(*side, *totals, "kind", F.col("c.bin").alias("bin"))
+        .agg(F.sum(F.col("n") * F.col("c.part") / of_kind).alias("share"))
+        .withColumn("n_all", F.greatest(F.lit(1), F.col("n_m") + F.col("n_v") + F.col("n_b")))
     )
-    ended = lambda t, change, name, s: t.where(F.col("change") == change).drop("change").withColumnsRenamed({"path": name, "place": f"place_{s}"} | {c: f"{c}_{s}" for c in t.columns if c.startswith("n_") or c == "share"})
-    both = ended(shares, "removed", "old", "a").join(ended(shares, "added", "new", "b"), [*group, "kind", "bin"])
+    counts = [*totals, "n_all"]
+    ended = lambda change, name, s: shares.where(F.col("change") == change).drop("change").withColumnsRenamed({"path": name, "place": f"place_{s}", "share": f"share_{s}"} | {c: f"{c}_{s}" for c in counts})
+    both = ended("removed", "old", "a").join(ended("added", "new", "b"), [*group, "kind", "bin"])
     least = lambda *ks: F.sum(F.when(F.col("kind").isin(*ks), F.least("share_a", "share_b")).otherwise(0.0))
     given = lambda s: F.sum(F.when(F.col("kind") == "v", F.col(f"share_{s}")).otherwise(0.0))
-    met = both.groupBy(*group, "old", "new").agg(least("m").alias("m"), least("s").alias("s"), least("o").alias("o"), F.least(given("a"), given("b")).alias("v"), F.count_if(F.col("kind") == "v").alias("shared"))
-    met = met.join(ended(totals, "removed", "old", "a"), [*group, "old"]).join(ended(totals, "added", "new", "b"), [*group, "new"])
+    once = [F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in [*counts, "place"] for s in "ab"]
+    met = both.groupBy(*group, "old", "new").agg(least("m").alias("m"), least("s").alias("s"), least("o").alias("o"), F.least(given("a"), given("b")).alias("v"), F.count_if(F.col("kind") == "v").alias("shared"), *once)
     part = lambda k: F.least(*[F.col(f"n_{k}_{s}") / F.col(f"n_all_{s}") for s in "ab"])
     whole = lambda s: F.coalesce(F.try_divide(F.col(f"n_i_{s}").cast("double"), F.col(f"n_w_{s}")), F.lit(0.0))
     # of values from a small set a few files show some only: one in both is enough, more rank higher
