@@ -23,13 +23,19 @@ from parolumi.session import written
 
 _FIELDS = "run_dir string, run_no int, file_id bigint, fields array<struct<path:string,kind:string,place:double>>"
 _CELLS = "run_dir string, run_no int, path string, bin string, n bigint"
-#: Up to so many changed runs are sent to all executors to select their files.
-BROADCAST_RUNS = 10_000
+#: Changed runs and their paths of up to so many bytes in all are sent to all executors to select files.
+BROADCAST_BYTES = 4 << 20
 #: Column and type of what has no column of its own.
 OTHERS = ("other_fields", "map<string,array<string>>")
 _NUMBER = re.compile(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` by sorting both. Left to itself Spark would broadcast a written
+    table by the size of its compressed files, of which the driver holds many times as much."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def leaves(value, path: str = "", place: float = 0.0) -> Iterator[tuple[str, str | None, object, float]]:
     """(path, kind, value, place among its siblings) of every leaf; `.` between names,
     `[]` after an array; kind is string, number, boolean or None for null. Empty objects
@@ -167,7 +173,7 @@ class Drift:
         holders = per_file.groupBy(*key, "path").agg(F.count("*").alias("files"))
         kinds = paths.groupBy(*key, "path", "kind").agg(F.count("*").alias("files"), F.avg("place").alias("place"))
         kind = kinds.groupBy(*key, "path").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("files", "kind"))).alias("kind"), F.avg("place").alias("place"))
-        fields = holders.join(kind, [*key, "path"]).join(self.parsable, key)
+        fields = _joined(_joined(holders, kind, [*key, "path"]), self.parsable, key)
         self.fields = written(fields.withColumn("held", F.col("files") * 2 > F.col("parsable")), "run-fields")
 
     def changes(self, least_likeness: float = 0.5, least_numbers: float = 0.35) -> DataFrame:
@@ -180,9 +186,9 @@ class Drift:
         runs = self.fields.select("run_dir", "run_no").distinct().unionByName(self.parsable.select("run_dir", "run_no")).distinct()
         order = runs.withColumn("before", F.lag("run_no").over(W.partitionBy("run_dir").orderBy("run_no"))).where("before is not null")
         held = self.fields.where("held")
-        now = order.join(held, ["run_dir", "run_no"]).select("run_dir", "run_no", "before", "path", F.col("kind").alias("kind_now"), F.col("place").alias("place_now"))
-        past = order.join(held.withColumnRenamed("run_no", "before"), ["run_dir", "before"]).select("run_dir", "run_no", "before", "path", F.col("kind").alias("kind_past"), F.col("place").alias("place_past"))
-        both = now.join(past, ["run_dir", "run_no", "before", "path"], "full")
+        now = _joined(order, held, ["run_dir", "run_no"]).select("run_dir", "run_no", "before", "path", F.col("kind").alias("kind_now"), F.col("place").alias("place_now"))
+        past = _joined(order, held.withColumnRenamed("run_no", "before"), ["run_dir", "before"]).select("run_dir", "run_no", "before", "path", F.col("kind").alias("kind_past"), F.col("place").alias("place_past"))
+        both = _joined(now, past, ["run_dir", "run_no", "before", "path"], "full")
         differing = both.withColumn(
             "change", F.when(F.col("place_past").isNull(), "added").when(F.col("place_now").isNull(), "removed").when(F.col("kind_now") != F.col("kind_past"), "retyped")
         ).where("change is not null")
@@ -194,15 +200,16 @@ class Drift:
         # only parents under which one path ends and another begins can hold a renamed one
         group = ["run_dir", "run_no", "parent"]
         mixed = ends.groupBy(*group).agg(F.countDistinct("change").alias("c")).where("c = 2").select(*group)
-        asked = ends.join(mixed, group).withColumn("at_run", F.when(F.col("change") == "added", F.col("run_no")).otherwise(F.col("before")))
+        asked = _joined(ends, mixed, group).withColumn("at_run", F.when(F.col("change") == "added", F.col("run_no")).otherwise(F.col("before")))
         asked = written(asked.select(*group, "change", "path", "at_run", F.coalesce("place_now", "place_past").alias("place")), "asked-fields")
         runs = asked.groupBy("run_dir", F.col("at_run").alias("run_no")).agg(F.collect_set("path").alias("paths"))
-        if runs.count() <= BROADCAST_RUNS:
-            runs = F.broadcast(runs)
-        cells = written(value_cells(self.files.join(runs, ["run_dir", "run_no"])).withColumnRenamed("run_no", "at_run"), "value-cells")
-        renamed = written(matched(likenesses(asked.join(cells, ["run_dir", "at_run", "path"]), group), group, least_likeness, least_numbers), "renamed-fields")
+        # rows say nothing of their size: one run may ask for any number of paths
+        size = runs.agg(F.expr("sum(64 + octet_length(run_dir) + aggregate(paths, 0L, (n, p) -> n + 16 + octet_length(p)))")).first()[0] or 0
+        wanted = self.files.join(F.broadcast(runs), ["run_dir", "run_no"]) if size <= BROADCAST_BYTES else _joined(self.files, runs, ["run_dir", "run_no"])
+        cells = written(value_cells(wanted).withColumnRenamed("run_no", "at_run"), "value-cells")
+        renamed = written(matched(likenesses(_joined(asked, cells, ["run_dir", "at_run", "path"]), group), group, least_likeness, least_numbers), "renamed-fields")
         taken = renamed.select("run_dir", "run_no", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("old").alias("path")), F.struct(F.lit("added").alias("change"), F.col("new").alias("path")))).alias("t")).select("run_dir", "run_no", "t.*")
-        plain = differing.join(taken, ["run_dir", "run_no", "change", "path"], "left_anti")
+        plain = _joined(differing, taken, ["run_dir", "run_no", "change", "path"], "left_anti")
         return plain.select("run_dir", "run_no", "change", F.col("path").alias("field_path"), F.lit("").alias("new_path")).unionByName(
             renamed.select("run_dir", "run_no", F.lit("renamed").alias("change"), F.col("old").alias("field_path"), F.col("new").alias("new_path"))
         )
@@ -329,7 +336,7 @@ def likenesses(cells: DataFrame, group: list[str]) -> DataFrame:
     )
     counts = [*totals, "n_all"]
     ended = lambda change, name, s: shares.where(F.col("change") == change).drop("change").withColumnsRenamed({"path": name, "place": f"place_{s}", "share": f"share_{s}"} | {c: f"{c}_{s}" for c in counts})
-    both = ended("removed", "old", "a").join(ended("added", "new", "b"), [*group, "kind", "bin"])
+    both = _joined(ended("removed", "old", "a"), ended("added", "new", "b"), [*group, "kind", "bin"])
     least = lambda *ks: F.sum(F.when(F.col("kind").isin(*ks), F.least("share_a", "share_b")).otherwise(0.0))
     given = lambda s: F.sum(F.when(F.col("kind") == "v", F.col(f"share_{s}")).otherwise(0.0))
     once = [F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in [*counts, "place"] for s in "ab"]

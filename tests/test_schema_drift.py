@@ -1,5 +1,6 @@
 import json
 
+from parolumi.operators import schema_drift
 from parolumi.operators.schema_drift import Drift, leaves, likenesses, matched, outline, shape
 
 SCHEMA = "file_id bigint, run_dir string, run_no int, body string, path string, kind string, n int"
@@ -115,3 +116,22 @@ def test_patterns_of_whole_values():
     start = "բառ " * 50
     assert shape(start + "12:30") != shape(start)
     assert outline(start + "слово " * 100) == "text cyrillic" and outline(start) == "text armenian"
+
+
+def test_only_a_bounded_table_goes_through_the_driver(spark, monkeypatch):
+    plans, write = [], schema_drift.written
+
+    def planned(df, label):
+        plans.append((label, df._jdf.queryExecution().sparkPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(schema_drift, "written", planned)
+    long = {r: {f"{r}{i}_{'x' * 1000}": f"v{i}" for i in range(20)} for r in "ab"}
+    df = files(spark, {1: [long["a"]] * 2, 2: [long["b"]] * 2})
+    for most, broadcast in ((1 << 20, ["value-cells"]), (20_000, [])):
+        plans.clear()
+        monkeypatch.setattr(schema_drift, "BROADCAST_BYTES", most, raising=False)
+        got = Drift(df).changes()
+        planned(got, "changes")
+        assert [label for label, p in plans if "Broadcast" in p] == broadcast
+        assert sorted((r.change, r.field_path, r.new_path) for r in got.collect()) == sorted(("renamed", f"a{i}_{'x' * 1000}", f"b{i}_{'x' * 1000}") for i in range(20))
